@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import lines, packing
+from . import lines, mixing, packing
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,55 @@ def byte_bpe() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+MIX_ENTROPY, MIX_REPETITION, MIX_BLOCK = 0.9, 4.0, 1 << 20
+
+
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents mixed to nine tenths of the largest entropy, no document more than four times."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("n_tokens"))
+    return mixing.with_positions(mixing.mix(docs, MIX_ENTROPY, MIX_REPETITION, block_tokens=MIX_BLOCK))
+
+
+ORACLES["op1_source_mixing"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens FROM documents
+),
+s AS (SELECT source, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY source HAVING sum(n_tokens) > 0),
+p AS (SELECT source, tokens, tokens / (SELECT CAST(sum(tokens) AS DOUBLE) FROM s) AS p, {MIX_ENTROPY} * ln((SELECT count(*) FROM s)) AS goal FROM s),
+b AS (
+  SELECT 0 AS k, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT k + 1, CASE WHEN met THEN lo ELSE mid END, CASE WHEN met THEN mid ELSE hi END
+  FROM (
+    SELECT k, lo, hi, mid, ln(sum(pow(p, mid))) - mid * sum(pow(p, mid) * ln(p)) / sum(pow(p, mid)) <= max(goal)
+           AND max(pow(p, mid) / p) / min(pow(p, mid) / p) <= {MIX_REPETITION} AS met
+    FROM (SELECT *, (lo + hi) / 2 AS mid FROM b WHERE k < 40), p GROUP BY k, lo, hi, mid
+  )
+),
+a AS (SELECT hi AS a FROM b WHERE k = 40),
+q AS (
+  SELECT source, tokens, CAST(floor(w / z * (z / least) * (1 + 1e-9)) AS BIGINT) AS quota
+  FROM (SELECT source, tokens, pow(p, a) AS w FROM p, a),
+       (SELECT sum(pow(p, a)) AS z, min(pow(p, a) / tokens) AS least FROM p, a)
+),
+e AS (
+  SELECT d.doc_id, d.source, d.n_tokens, q.tokens, q.quota, epoch, md5(d.doc_id || ':' || epoch || ':0') AS key,
+         CAST(greatest(1, ceil((SELECT sum(quota) FROM q) / {MIX_BLOCK})) AS BIGINT) AS blocks
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source, unnest(range(0, quota // tokens + 1)) AS u(epoch)
+),
+c AS (
+  SELECT *, CAST(sum(n_tokens) OVER (PARTITION BY source, epoch ORDER BY key, n_tokens ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM e
+),
+m AS (
+  SELECT doc_id, source, n_tokens, CAST(epoch AS BIGINT) AS epoch,
+         CAST(least(floor(CAST(epoch * tokens + upto - n_tokens AS DOUBLE) * blocks / quota), blocks - 1) AS BIGINT) AS block
+  FROM c WHERE epoch < quota // tokens OR upto <= quota % tokens
+)
+SELECT *, row_number() OVER (PARTITION BY block ORDER BY md5(doc_id || ':' || epoch || ':0:block'), n_tokens) AS position FROM m
+"""
+
+
 @query
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more leave every document."""
