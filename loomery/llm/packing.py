@@ -8,6 +8,7 @@ into shards of bounded size and each shard is packed by vector best-fit.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,7 +19,15 @@ from pyspark.sql import functions as F
 from .shared import materialize
 
 #: Words whose ids a Python worker keeps before it starts over.
-WORD_CACHE = 600_000
+WORD_CACHE = 400_000
+
+
+def _byte_ranks(tokenizer) -> dict[bytes, int]:
+    """Ranks of a byte-level BPE from its vocabulary, whose symbols stand for bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    symbol = dict(zip((chr(b) for b in plain), plain, strict=True)) | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+    return {bytes(symbol[c] for c in token): i for token, i in tokenizer.get_vocab().items() if token not in special}
 
 
 class PieceEncoder:
@@ -27,15 +36,39 @@ class PieceEncoder:
     A space between two characters that are not white space always starts a
     new pre-token of a byte-level BPE, so a text can be encoded word by word
     and each distinct word only once.  A text with other white space around
-    its spaces is encoded whole.
+    its spaces is encoded whole.  New words take tiktoken with the same
+    vocabulary, which has less to do for each call; whole texts and first
+    words take the tokenizer itself.  If the two differ on a probe, only the
+    tokenizer is used.
     """
 
+    PROBE = ("the", "The,", "x1y22", "don't", "\u00e9t\u00e9\u2026", "\u4e2d\u6587", "\U0001f600!?", "a\u00a0b", "<|endoftext|>", "AB..\nCd", "1234567", "\x00\x7f")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.words: dict[str, bytes] = {}
+        self.quick = self._quick()
+
+    def _quick(self):
+        try:
+            import tiktoken
+
+            pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+            encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=_byte_ranks(self.tokenizer), special_tokens={}).encode_ordinary
+            probe = [" " + w for w in self.PROBE]
+            return encode if [e.ids for e in self.tokenizer.encode_batch(probe, add_special_tokens=False)] == [encode(w) for w in probe] else None
+        except (ImportError, KeyError, ValueError):
+            return None
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space."""
+        if self.quick is None:
+            return self.whole([" " + w for w in words])
+        encode = self.quick
+        return [array("I", encode(" " + w)).tobytes() for w in words]
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -48,7 +81,7 @@ class PieceEncoder:
         if len(self.words) + len(wanted) > WORD_CACHE:
             self.words.clear()
         new = [w for w in wanted - self.words.keys() if w and not w[0].isspace() and not w[-1].isspace()]
-        self.words.update(zip(new, self.whole([" " + w for w in new]), strict=True))
+        self.words.update(zip(new, self.spaced(new), strict=True))
         known = self.words.__getitem__
         heads = self.whole([w[0] for w in split])
         for text, head, words in zip(texts, heads, split, strict=True):
