@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import lines, mixing, packing
+from . import lines, mixing, packing, quality, repetition, toxicity
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,23 @@ GROUP BY doc_id
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in sequences of 2048 tokens; documents and attention cost bound only by that."""
     return packing.pack_documents(table(spark, sf_dir, "documents"), byte_bpe(), 2048)
+
+
+@query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of every document, from a model fitted on at most 20,000 labelled ones."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.grade_toxicity(docs, table(spark, sf_dir, "labels"))
+
+
+@query
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, from views fitted on at most 8,000 labelled and 8,000 other ones."""
+    out = quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "text_score", "metadata_score", "quality_score", "kept")
+
+
+@query
+def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repetition measures of every document and whether it is kept."""
+    return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
