@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import lines, mixing, packing, quality, repetition, toxicity
+from . import lines, mixing, packing, quality, repetition, toxicity, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,20 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures of every document and whether it is kept."""
     return repetition.repetition_rules(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page through an archive and back."""
+    index = warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=1000)
+    return warc.read_records(index, with_payload=False)
+
+
+ORACLES["op9_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+w AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM w
+"""

@@ -88,7 +88,7 @@ class OrdinalRegression:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, bounds: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int, l2: float = 1.0, steps: int = 400) -> OrdinalRegression:
+    def fit(cls, bounds: np.ndarray, ids: np.ndarray, values: np.ndarray, grade: np.ndarray, size: int, l2: float = 0.2, steps: int = 500) -> OrdinalRegression:
         n, levels = len(grade), int(grade.max(initial=0))
         w = np.zeros(size)
         above = np.stack([grade > k for k in range(max(levels, 1))], axis=1).astype(np.float64)
