@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 #: Width of a window in standard deviations of a projected difference at the search radius.
 WINDOW = 0.8
 #: How many standard deviations under its mean a true neighbour's collision count may lie.
-SLACK = 0.5
+SLACK = 0.9
 #: Growth of the radius between rounds.
 GROWTH = 1.06
 

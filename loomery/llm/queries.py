@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import lines, mixing, neighbours, packing, quality, repetition, toxicity, warc
+from . import lines, mixing, neighbours, packing, quality, repetition, substrings, toxicity, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,10 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM w
 """
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes in strings of 400 bytes that are found twice or more leave every document."""
+    out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
