@@ -107,14 +107,14 @@ def drop_frequent(docs: DataFrame, frequent: DataFrame) -> DataFrame:
     flags = F.split(F.rpad(F.array_join(step, ""), F.size("lines"), "0"), "")
     pairs = F.arrays_zip(F.col("lines").alias("line"), flags.alias("flag"))
     kept = F.filter(pairs, lambda z: z["line"].isNotNull() & (z["flag"] == "0"))
-    left = docs.withColumns({"k1": _row_key()[0], "k2": _row_key()[1]}).join(small_side(gone), ["k1", "k2"], "left")
-    left = left.withColumn("lines", split_lines(F.col("text")))
-    return left.select(
-        *(docs[c] for c in docs.columns),
-        F.size("lines").cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda z: z["line"]), "\n")).alias("kept_text"),
-    )
+    whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"), *_row_key()).join(small_side(gone), ["k1", "k2"], "left")
+    whole = whole.withColumn("lines", split_lines(F.col("text")))
+    added = {
+        "n_lines": F.size("lines").cast("long"),
+        "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
+        "kept_text": F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda z: z["line"]), "\n")),
+    }
+    return whole.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *(e.alias(c) for c, e in added.items()))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 2) -> DataFrame:
@@ -123,9 +123,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     A key is the line without blanks (space, \\t to \\r) at its ends and with
     A-Z lower-cased; keys under ``min_chars`` code points are never dropped.
     Adds n_lines, n_dropped and kept_text.  A null or empty text is one empty
-    line and stays as an empty text; a repeated row counts as a document of
-    its own; a null doc_id is kept; all columns of ``docs`` stay.  An empty
-    table gives an empty result.
+    line and its kept_text is empty; a repeated row counts as a document of
+    its own; a null doc_id is kept; all columns of ``docs`` stay, but for
+    those named as an added one.  An empty table gives an empty result.
     """
     runs = LineRuns(docs.sparkSession, min_docs, min_chars, fanout)
     batch = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))

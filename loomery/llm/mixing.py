@@ -105,28 +105,32 @@ def mix(docs: DataFrame, entropy: float = 0.9, max_repetition: float = 4.0, budg
     each source in proportion to its weight.  Empty documents count no
     tokens and travel with their source; a source of only empty documents
     has no weight and is left out; a null source is a source; rows that are
-    equal in all columns are placed each on its own.
+    equal in all columns are placed each on its own; columns of ``docs`` named
+    epoch or block are replaced; an empty table gives an empty result.
     """
     weights = mix_weights(docs, entropy, max_repetition, budget)
     quota_sum, rows = weights.agg(F.sum("quota")).first()[0] or 0, docs.count()
     blocks = max(1, -(-quota_sum // block_tokens))
     digits = max(0, math.ceil(math.log(max(rows, 1) / BUCKET_ROWS, 16)))
-    own = docs.withColumn("sid", source_key(F.col("source"))).join(weights.select("sid", "tokens", "quota"), "sid")
     whole, rest = F.floor(F.col("quota") / F.col("tokens")), F.col("quota") % F.col("tokens")
-    own = own.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole)))
-    own = own.withColumn("key", hex_key(seed)).withColumn("bucket", F.substring("key", 1, digits))
+
+    def spread(rows: DataFrame) -> DataFrame:
+        """A row for each epoch that its source reaches into, with its place in the permutation."""
+        rows = rows.withColumn("sid", source_key(F.col("source"))).join(weights.select("sid", "tokens", "quota"), "sid")
+        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole))).withColumn("key", hex_key(seed))
+        return rows.withColumn("bucket", F.substring("key", 1, digits))
+
     place = ["sid", "epoch", "bucket"]
-    sums = docs.withColumn("sid", source_key(F.col("source"))).join(weights.select("sid", "tokens", "quota"), "sid")
-    sums = sums.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole))).withColumn("bucket", F.substring(hex_key(seed), 1, digits))
-    sums = sums.groupBy(*place).agg(F.sum("n_tokens").alias("own"))
+    sums = spread(docs.select("doc_id", "source", "n_tokens")).groupBy(*place).agg(F.sum("n_tokens").alias("own"))
     before = F.sum("own").over(W.partitionBy("sid", "epoch").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*place, F.coalesce(before, F.lit(0)).alias("before"))
     upto = F.sum("n_tokens").over(W.partitionBy(*place).orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
+    own = spread(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "n_tokens"))
     placed = own.withColumn("upto", upto).join(sums, place).withColumn("upto", F.col("upto") + F.col("before"))
     placed = placed.where((F.col("epoch") < whole) | (F.col("upto") <= rest))
     at = F.col("epoch") * F.col("tokens") + F.col("upto") - F.col("n_tokens")
     block = F.least(F.floor(at.cast("double") * F.lit(float(blocks)) / F.col("quota").cast("double")), F.lit(blocks - 1)).cast("long")
-    return placed.withColumn("block", block).select(*docs.columns, "epoch", "block")
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("epoch", "block")), "epoch", block.alias("block"))
 
 
 def with_positions(mixed: DataFrame, seed: str = "0") -> DataFrame:
