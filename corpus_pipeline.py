@@ -16,14 +16,15 @@ from loomery.llm.shared import materialize, table
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
-    return quality.classify_quality(docs, table(spark, sf_dir, "labels")).where("kept").select(*docs.columns)
+    seen = docs.select(F.struct(*docs.columns).alias("row"), *quality.view_columns(docs))
+    return quality.classify_quality(seen, table(spark, sf_dir, "labels")).where("kept").select("row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go; a text that loses lines gets a new length."""
-    cut = lines.dedup_lines(docs, min_docs=10)
+    cut = lines.dedup_lines(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text", "n_chars"), min_docs=10)
     new = {"text": F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(F.col("n_dropped") > 0, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return cut.select(*(new[c].alias(c) if c in new else c for c in docs.columns))
+    return cut.select("row", *(e.alias(f"new_{c}") for c, e in new.items())).select(*(F.col(f"new_{c}" if c in new else f"row.{c}").alias(c) for c in docs.columns))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

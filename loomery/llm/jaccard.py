@@ -72,7 +72,8 @@ def prefix_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
             ids, more = batch.column("doc_id").to_numpy(), batch.column("extra").to_numpy()
             for first, sets, bounds in shingle_sets(batch.column("text"), words):
                 n = np.diff(bounds)
-                extra = np.where(n > 0, more[first : first + len(n)], 0)
+                # of n shingles, l is at most what any pair of the threshold shares
+                extra = np.maximum(np.minimum(more[first : first + len(n)], -(-percent * n // 100) - 1), 0)
                 take = np.where(n > 0, np.minimum(n, prefix_length(n, percent) + extra), 0)
                 row = np.repeat(np.arange(len(n)), take)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)

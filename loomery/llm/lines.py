@@ -114,7 +114,8 @@ def drop_frequent(docs: DataFrame, frequent: DataFrame) -> DataFrame:
         "n_dropped": F.coalesce(F.size("gone"), F.lit(0)).cast("long"),
         "kept_text": F.when(F.col("gone").isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda z: z["line"]), "\n")),
     }
-    return whole.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *(e.alias(c) for c, e in added.items()))
+    whole = whole.select("row", *(e.alias(c) for c, e in added.items()))
+    return whole.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches: int = 3, fanout: int = 2) -> DataFrame:

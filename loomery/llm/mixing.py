@@ -130,7 +130,8 @@ def mix(docs: DataFrame, entropy: float = 0.9, max_repetition: float = 4.0, budg
     placed = placed.where((F.col("epoch") < whole) | (F.col("upto") <= rest))
     at = F.col("epoch") * F.col("tokens") + F.col("upto") - F.col("n_tokens")
     block = F.least(F.floor(at.cast("double") * F.lit(float(blocks)) / F.col("quota").cast("double")), F.lit(blocks - 1)).cast("long")
-    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("epoch", "block")), "epoch", block.alias("block"))
+    placed = placed.select("row", "epoch", block.alias("block"))
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("epoch", "block")), "epoch", "block")
 
 
 def with_positions(mixed: DataFrame, seed: str = "0") -> DataFrame:

@@ -112,7 +112,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Severity of every document, from a model fitted on at most 20,000 labelled ones."""
+    """Severity of every document, from a model fitted on at most 30,000 labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.grade_toxicity(docs, table(spark, sf_dir, "labels"))
 

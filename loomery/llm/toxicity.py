@@ -19,6 +19,8 @@ from .kernels import lower_ascii, mix64, prefix_hash, span_hash, text_slices, wo
 from .shared import materialize
 
 STEMS = (4, 5, 6)
+#: Probability of any toxicity from which a row is flagged.
+FLAG = 0.4
 
 
 def features(column: pa.Array, vocabulary: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -125,7 +127,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def fit_severity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 8192) -> tuple[np.ndarray, OrdinalRegression]:
+def fit_severity(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_features: int = 8192) -> tuple[np.ndarray, OrdinalRegression]:
     """Vocabulary and model from a bounded sample of labelled documents.
 
     Labels say only whether a document is toxic.  Toxic ones are graded 1 or
@@ -160,7 +162,7 @@ def score_severity(docs: DataFrame, vocabulary: np.ndarray, model: OrdinalRegres
                 p = own.above(bounds, ids.astype(np.int64), np.log1p(count))
                 grade = np.diff(np.hstack([np.ones((len(p), 1)), p, np.zeros((len(p), 1))]) * -1, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(first, len(p)), pa.array(p.sum(axis=1)), pa.array(grade.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= 0.5)],
+                    [batch.column("doc_id").slice(first, len(p)), pa.array(p.sum(axis=1)), pa.array(grade.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] >= FLAG)],
                     names=["doc_id", "expected_severity", "severity", "is_toxic"],
                 )
 
@@ -168,7 +170,7 @@ def score_severity(docs: DataFrame, vocabulary: np.ndarray, model: OrdinalRegres
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_severity double, severity int, is_toxic boolean")
 
 
-def grade_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 20_000, max_features: int = 8192) -> DataFrame:
+def grade_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_features: int = 8192) -> DataFrame:
     """Fit on ``labels`` (doc_id, toxic) and grade every row of ``docs`` (doc_id, text).
 
     A null or empty text has no features and gets the prior; a null doc_id
