@@ -2,12 +2,18 @@
 
 Shingles are ordered by hash.  Two sets that reach the threshold share at
 least l shingles of their l-prefixes, which are l - 1 longer than the usual
-prefix.  All documents start with l = 1.  A document whose prefix holds
-shingles of more than ``HOT`` documents would cost too many candidates: its
-prefix is lengthened by twice their number, and pairs of such documents must
-share that many more shingles before they are verified.  A pair with a
-document that needed no lengthening shares a shingle that is not hot and is
-found in the round before.
+prefix.  All documents start with l = 1.  A shingle of more than ``HOT``
+documents is hot: it costs too many candidates and makes none.
+
+* A document whose prefix holds no hot shingle keeps l = 1; of what it shares
+  with any partner nothing is hot.
+* A document with k hot shingles in its prefix is crowded; its prefix is
+  lengthened by 2 k, and l with it.  If h < l shingles of the longer prefix
+  are hot it is settled: a crowded partner with l or more shares at least
+  l - h shingles with it that are not hot, and only pairs with as many are
+  verified.
+* The few crowded documents that are mostly hot take part with their whole
+  sets, and pairs of them must share l shingles of any kind.
 
 Documents of equal sets are one node.  First every node is verified against
 the node it shares most prefix shingles with, among the least and the largest
@@ -31,8 +37,8 @@ from .components import connected_components
 from .kernels import shingle_sets
 from .shared import materialize, small_side
 
-#: Documents above which a shingle is too common for the round, and rounds before the last.
-HOT, ROUNDS = 48, 2
+#: Documents above which a shingle is hot, and shingles under which a crowded set is taken whole.
+HOT, FEW = 24, 16
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -60,11 +66,16 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long")
 
 
-def prefix_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(token, node, meta) of the prefixes of ``docs`` (doc_id, text, extra).
+def most_extra(n, percent: int, whole: bool):
+    """The largest l - 1 of a set of n: half of it, or what any pair of the threshold shares."""
+    return -(-percent * n // 100) - 1 if whole else n // 2
 
-    ``extra`` is l - 1.  meta holds it, with a last bit for shingles in the
-    prefix of the smaller set.
+
+def prefix_rows(docs: DataFrame, words: int, percent: int, whole: bool = False) -> DataFrame:
+    """(token, node, small) of the prefixes of ``docs`` (doc_id, text, extra).
+
+    ``extra`` is l - 1, cut to :func:`most_extra`; ``small`` marks shingles
+    in the prefix that the smaller set of a pair needs.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,17 +83,15 @@ def prefix_rows(docs: DataFrame, words: int, percent: int) -> DataFrame:
             ids, more = batch.column("doc_id").to_numpy(), batch.column("extra").to_numpy()
             for first, sets, bounds in shingle_sets(batch.column("text"), words):
                 n = np.diff(bounds)
-                # of n shingles, l is at most what any pair of the threshold shares
-                extra = np.maximum(np.minimum(more[first : first + len(n)], -(-percent * n // 100) - 1), 0)
+                extra = np.maximum(np.minimum(more[first : first + len(n)], most_extra(n, percent, whole)), 0)
                 take = np.where(n > 0, np.minimum(n, prefix_length(n, percent) + extra), 0)
                 row = np.repeat(np.arange(len(n)), take)
                 place = np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
                 token = sets[bounds[:-1][row] + place].view(np.int64)
                 small = place < (index_length(n, percent) + extra)[row]
-                meta = (extra[row] << 1 | small).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[first + row]), pa.array(meta)], names=["token", "node", "meta"])
+                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids[first + row]), pa.array(small)], names=["token", "node", "small"])
 
-    return docs.select("doc_id", "text", "extra").mapInArrow(run, "token long, node long, meta int")
+    return docs.select("doc_id", "text", "extra").mapInArrow(run, "token long, node long, small boolean")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -121,34 +130,51 @@ def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataF
     return both.mapInArrow(run, "u long, v long")
 
 
-def leaders(groups: DataFrame) -> DataFrame:
-    """(u, v): for each node v the two nodes it shares most tokens with, of the least and of the largest ones."""
+def leaders(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): for each node v the two nodes it shares most tokens with, of the least and of the largest ones.
+
+    Only those that share four tenths of v's prefix or more: this is a quick
+    first look, and what it misses is among the candidates.
+    """
+    n = F.col("n")
+    prefix = n - F.ceil(n * percent / F.lit(100)) + 1
     votes = None
     for end in ("lo", "hi"):
         count = groups.where(F.col(end) != F.col("node")).groupBy("node", end).agg(F.count("*").alias("c"))
-        best = count.groupBy("node").agg(F.max_by(end, F.struct("c", end)).alias("other"))
+        best = count.groupBy("node").agg(F.max(F.struct("c", end)).alias("best")).select("node", F.col(f"best.{end}").alias("other"), "best.c")
         votes = best if votes is None else votes.unionByName(best)
-    return votes.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+    good = votes.join(sizes, "node").where(10 * F.col("c") >= 4 * prefix)
+    return good.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+
 
+def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of nodes of different components that share enough prefix tokens and could reach the threshold.
 
-def cross_candidates(groups: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(u, v) of nodes of different components that share enough prefix tokens and could reach the threshold."""
-    rows = groups.select("round", "token", "node", "meta").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    key = ["round", "token"]
+    ``rows`` is (part, token, node, small, special, l, h): part 0 for prefixes
+    of l = 1, where crowded nodes are special and do not meet each other;
+    part 1 for settled crowded nodes; part 2 for the whole sets of the
+    special ones and what is not hot of the settled.
+    """
+    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    key = ["part", "token"]
     counts = rows.groupBy(*key, "label").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy(*key).agg(F.count("*").alias("labels"), F.max_by("label", F.struct("c", "label")).alias("major")).where("labels > 1").drop("labels")
+    mixed = counts.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1").select(*key, F.col("most.label").alias("major"))
     rows = rows.join(mixed, key).join(sizes, "node")
     # of each token's nodes, those outside its largest component meet all others
-    a = rows.where("label <> major").select(*key, F.col("node").alias("a"), F.col("label").alias("la"), F.col("meta").alias("ma"), F.col("n").alias("na"))
-    b = rows.select(*key, F.col("node").alias("b"), F.col("label").alias("lb"), F.col("meta").alias("mb"), F.col("n").alias("nb"), "major")
-    once = (F.col("lb") == F.col("major")) | (F.col("a") < F.col("b"))
-    fits = (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na"))
-    flag = lambda m: F.col(m).bitwiseAND(1) == 1
-    small = F.when(F.col("na") < F.col("nb"), flag("ma")).when(F.col("nb") < F.col("na"), flag("mb")).otherwise(flag("ma") | flag("mb"))
-    pairs = a.join(b, key).where((F.col("la") != F.col("lb")) & once & fits & small)
-    need = F.least(F.shiftright("ma", 1), F.shiftright("mb", 1)) + 1
-    pairs = pairs.groupBy("round", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("c"), F.max(need).alias("need"))
-    return pairs.where("c >= need").select("u", "v").distinct()
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "small", "special", "l", "h", "n")]
+    pairs = rows.where("label <> major").select(*key, *side("a")).join(rows.select(*key, "major", *side("b")), key)
+    a, b = ({c: F.col(f"{c}_{x}") for c in ("node", "label", "small", "special", "l", "h", "n")} for x in "ab")
+    once = (b["label"] == F.col("major")) | (a["node"] < b["node"])
+    fits = (100 * a["n"] >= percent * b["n"]) & (100 * b["n"] >= percent * a["n"])
+    small = F.when(a["n"] < b["n"], a["small"]).when(b["n"] < a["n"], b["small"]).otherwise(a["small"] | b["small"])
+    meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, a["special"] | b["special"]).otherwise(True)
+    plain_a, plain_b = a["l"] - a["h"], b["l"] - b["h"]
+    settled = F.when(a["l"] < b["l"], plain_a).when(b["l"] < a["l"], plain_b).otherwise(F.greatest(plain_a, plain_b))
+    last = F.when(a["special"] & b["special"], F.least(a["l"], b["l"])).when(a["special"], plain_b).otherwise(plain_a)
+    need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(last)
+    found = pairs.where((a["label"] != b["label"]) & once & fits & small & meets)
+    found = found.groupBy("part", F.least(a["node"], b["node"]).alias("u"), F.greatest(a["node"], b["node"]).alias("v")).agg(F.count("*").alias("c"), F.max(need).alias("need"))
+    return found.where("c >= need").select("u", "v").distinct()
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -174,24 +200,31 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     if not twice.isEmpty():
         again = texts.join(small_side(twice), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
         texts = texts.join(small_side(twice), "doc_id", "left_anti").unionByName(again)
-    sizes = members.where("doc_id = node").groupBy("node").agg(F.max("n").alias("n"))
-
-    groups, current = None, texts.withColumn("extra", F.lit(0).cast("long"))
-    for turn in range(ROUNDS + 1):
-        found = materialize(shared_tokens(prefix_rows(current, words, percent)).withColumn("round", F.lit(turn)), "shared-tokens")
-        groups = found if groups is None else groups.unionByName(found)
-        hot = found.where(F.col("df") > HOT).groupBy("node").agg((2 * F.count("*")).alias("extra"))
-        hot = materialize(hot, "lengthened")
-        if turn == ROUNDS or hot.isEmpty():
-            break
-        current = texts.withColumnRenamed("doc_id", "node").join(small_side(hot), "node").withColumnRenamed("node", "doc_id")
-    # hot tokens of all rounds but the last are left to the round that follows
-    open_groups = groups.where((F.col("df") <= HOT) | (F.col("round") == ROUNDS))
-
-    tried = materialize(leaders(groups), "leaders")
+    sizes = materialize(members.where("doc_id = node").groupBy("node").agg(F.max("n").alias("n")), "sizes")
+
+    first = materialize(shared_tokens(prefix_rows(texts.withColumn("extra", F.lit(0).cast("long")), words, percent)), "shared-tokens")
+    crowded = materialize(first.where(F.col("df") > HOT).groupBy("node").agg(F.count("*").alias("k")), "crowded")
+
+    tried = materialize(leaders(first, sizes, percent), "leaders")
     links = materialize(verify(texts, tried, words, percent), "first-links")
     labels = materialize(connected_components(links), "first-labels")
-    rest = cross_candidates(open_groups, labels, sizes, percent).join(tried, ["u", "v"], "left_anti")
+
+    shape = ["part", "token", "node", "small", "special", "l", "h"]
+    one = {"part": F.lit(0), "special": F.col("k").isNotNull(), "l": F.lit(1).cast("long"), "h": F.lit(0).cast("long")}
+    rows = first.where(F.col("df") <= HOT).join(small_side(crowded), "node", "left").withColumns(one).select(*shape)
+    if not crowded.isEmpty():
+        named = texts.withColumnRenamed("doc_id", "node")
+        longer = lambda state: named.join(small_side(state), "node").withColumnRenamed("node", "doc_id")
+        second = materialize(shared_tokens(prefix_rows(longer(crowded.select("node", (2 * F.col("k")).alias("extra"))), words, percent)), "longer-tokens")
+        hot = second.where(F.col("df") > HOT).groupBy("node").agg(F.count("*").alias("h"))
+        state = crowded.join(sizes, "node").join(hot, "node", "left").select("node", "n", (1 + F.least(2 * F.col("k"), F.floor(F.col("n") / 2))).alias("l"), F.coalesce("h", F.lit(0).cast("long")).alias("h"))
+        state = materialize(state.withColumn("special", (F.col("h") >= F.col("l")) | (F.col("n") < FEW)), "settled")
+        whole = state.where("special").select("node", F.col("n").alias("extra"), F.ceil(F.col("n") * percent / F.lit(100)).alias("l"), F.lit(0).cast("long").alias("h"), "special")
+        plain = second.where(F.col("df") <= HOT).join(small_side(state), "node").where("not special")
+        sets = prefix_rows(longer(materialize(whole.select("node", "extra"), "whole")), words, percent, whole=True).join(whole.drop("extra"), "node")
+        rows = rows.unionByName(plain.withColumn("part", F.lit(1)).select(*shape))
+        rows = rows.unionByName(plain.withColumn("part", F.lit(2)).select(*shape)).unionByName(sets.withColumn("part", F.lit(2)).select(*shape))
+    rest = cross_candidates(rows, labels, sizes, percent).join(tried, ["u", "v"], "left_anti")
     more = verify(texts, materialize(rest, "candidates"), words, percent)
     labels = materialize(connected_components(links.unionByName(materialize(more, "more-links"))), "labels")
     out = members.join(labels, "node", "left")

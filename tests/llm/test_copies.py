@@ -64,7 +64,7 @@ def near_copies():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("hot", [4, 48])
+@pytest.mark.parametrize("hot", [3, 24])
 def test_components_match_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
     rows = near_copies()
