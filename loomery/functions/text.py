@@ -6,6 +6,7 @@ All of them are built-in expressions, so plans that use them run in the JVM.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,9 +54,15 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body's lambdas use it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def char_ngrams(c: Column, n: int) -> Column:
     """All n-character substrings in order; none of a shorter text."""
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))
+    return let(c, lambda t: F.when(F.length(t) >= n, grams(t)).otherwise(F.array().cast("array<string>")))
 
 
 def bigrams(c: Column) -> Column:
@@ -71,7 +78,8 @@ def bigram_overlap(a: Column, b: Column) -> Column:
 
 
 def word_ngrams(words: Column, n: int) -> Column:
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, grams(w)).otherwise(F.array().cast("array<string>")))
 
 
 def question_type(c: Column) -> Column:

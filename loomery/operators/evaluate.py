@@ -36,12 +36,17 @@ def document_metrics(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return retrieval_metrics(first.select("query_id", F.col("doc").alias("id"), F.row_number().over(order).alias("rank")), truth, k)
 
 
-def rouge_n(candidate: Column, reference: Column, n: int) -> Column:
-    """F1 of shared word n-grams, counted as often as both have them; 0 for a blank side."""
-    a, b = word_ngrams(tokens(candidate), n), word_ngrams(tokens(reference), n)
-    times = lambda grams, g: F.size(F.filter(grams, lambda x: x == g))
-    shared = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, g: s + F.least(times(a, g), times(b, g)))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(2.0 * shared / (F.size(a) + F.size(b)))
+def rouge_n(rows: DataFrame, key: str, candidate: str, reference: str, n: int) -> DataFrame:
+    """(key, rouge): F1 of shared word n-grams, counted as often as both have them; 0 for a blank side.
+
+    ``key`` is unique.  Grams are counted by key and gram, so a long answer is no long task.
+    """
+    grams = lambda c: word_ngrams(tokens(F.col(c)), n)
+    side = lambda c, a, b: F.transform(grams(c), lambda g: F.struct(g.alias("g"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+    every = rows.select(key, F.explode_outer(F.concat(side(candidate, 1, 0), side(reference, 0, 1))).alias("x")).select(key, "x.*")
+    counts = every.groupBy(key, "g").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).groupBy(key)
+    sums = counts.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.sum(F.least("a", "b")).alias("shared"))
+    return sums.select(key, F.when((F.col("a") == 0) | (F.col("b") == 0), 0.0).otherwise(2.0 * F.col("shared") / (F.col("a") + F.col("b"))).alias("rouge"))
 
 
 def gate(scores: DataFrame, thresholds: dict[str, float]) -> DataFrame:

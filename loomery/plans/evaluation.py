@@ -55,12 +55,12 @@ def rouge_sql(n: int) -> str:
 
 @query(f"WITH {PAIRS}, {rouge_sql(1)}")
 def rouge_1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pos", F.round(E.rouge_n(F.col("answer"), F.col("question"), 1), 6).alias("rouge"))
+    return E.rouge_n(pairs(spark, sf_dir), "pos", "answer", "question", 1).withColumn("rouge", F.round("rouge", 6))
 
 
 @query(f"WITH {PAIRS}, {rouge_sql(2)}")
 def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs(spark, sf_dir).select("pos", F.round(E.rouge_n(F.col("answer"), F.col("question"), 2), 6).alias("rouge"))
+    return E.rouge_n(pairs(spark, sf_dir), "pos", "answer", "question", 2).withColumn("rouge", F.round("rouge", 6))
 
 
 SCORES = "s AS (SELECT 'quality' AS metric, CAST(quality AS DOUBLE) AS score FROM labels UNION ALL SELECT 'toxic', CAST(toxic AS DOUBLE) FROM labels)"
@@ -71,7 +71,7 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SCORES}, t AS (SELECT * FROM (VALUES ('quality', 0.5), ('toxic', 0.5), ('rougeL', 0.2)) AS v(metric, threshold))
-SELECT t.metric, CAST(threshold AS DOUBLE) AS threshold, round(coalesce(avg(score), 0.0), 6) AS mean, coalesce(avg(score), 0.0) >= threshold AS passed FROM t LEFT JOIN s USING (metric) GROUP BY ALL""")
+SELECT t.metric, CAST(threshold AS DOUBLE) AS threshold, round(coalesce(avg(score), 0.0), 6) AS mean, coalesce(avg(score), 0.0) >= threshold AS passed FROM t LEFT JOIN s USING (metric) GROUP BY t.metric, threshold""")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.gate(scores(spark, sf_dir), {"quality": 0.5, "toxic": 0.5, "rougeL": 0.2})
 
