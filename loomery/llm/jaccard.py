@@ -13,7 +13,9 @@ documents is hot: it costs too many candidates and makes none.
   l - h shingles with it that are not hot, and only pairs with as many are
   verified.
 * The few crowded documents that are mostly hot take part with their whole
-  sets, and pairs of them must share l shingles of any kind.
+  sets.  Among themselves their shingles are ordered anew, rare ones first,
+  and the places of a shared shingle must allow for the overlap that the two
+  sizes ask for: a copy with too many changes of its own meets nobody.
 
 Documents of equal sets are one node.  First every node is verified against
 the node it shares most prefix shingles with, among the least and the largest
@@ -40,6 +42,9 @@ from .shared import materialize, small_side
 #: Documents above which a shingle is hot, and shingles under which a crowded set is taken whole.
 HOT, FEW = 24, 16
 
+#: l - 1 of mostly hot documents whose rare-first prefix still holds a hot shingle.
+MORE = 4
+
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """Of n shingles, how many to take so that similar sets share one."""
@@ -67,7 +72,7 @@ def set_sizes(docs: DataFrame, words: int) -> DataFrame:
 
 
 def most_extra(n, percent: int, whole: bool):
-    """The largest l - 1 of a set of n: half of it, or what any pair of the threshold shares."""
+    """The largest l - 1 of a set of n: half of it, or what makes its prefix the whole set."""
     return -(-percent * n // 100) - 1 if whole else n // 2
 
 
@@ -147,13 +152,42 @@ def leaders(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return good.select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
 
 
+def rare_first(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, node, place, l): prefixes of whole ``sets`` (token, node, n), rare tokens first.
+
+    A prefix with a hot token gets l = 1 + MORE, others l = 1; tokens of one
+    set only keep their place but make no row.
+    """
+    counted = sets.join(sets.groupBy("token").agg(F.count("*").alias("df")), "token")
+    placed = counted.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "token")) - 1)
+    usual = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
+    near = placed.where(F.col("place") < usual + MORE)
+    crowd = F.max(((F.col("place") < usual) & (F.col("df") > HOT)).cast("long")).over(W.partitionBy("node"))
+    near = near.withColumn("l", 1 + MORE * crowd)
+    return near.where((F.col("df") > 1) & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l")
+
+
+def special_candidates(plain: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of a settled and a mostly hot node: ``plain`` (token, node, small, n, need) and ``sets`` (token, node, n).
+
+    At most HOT settled nodes share a token of ``plain``.
+    """
+    label = lambda x: labels.select(F.col("node").alias(f"node_{x}"), F.col("label").alias(f"label_{x}"))
+    a = plain.select("token", "small", "need", F.col("node").alias("node_a"), F.col("n").alias("n_a")).join(label("a"), "node_a", "left")
+    b = sets.select("token", F.col("node").alias("node_b"), F.col("n").alias("n_b")).join(label("b"), "node_b", "left")
+    fits = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")) & (F.col("small") | (F.col("n_a") >= F.col("n_b")))
+    apart = F.coalesce("label_a", "node_a") != F.coalesce("label_b", "node_b")
+    found = a.join(b, "token").where(fits & apart).groupBy("node_a", "node_b").agg(F.count("*").alias("c"), F.max("need").alias("need"))
+    return found.where("c >= need").select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
+
+
 def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(u, v) of nodes of different components that share enough prefix tokens and could reach the threshold.
 
-    ``rows`` is (part, token, node, small, special, l, h): part 0 for prefixes
-    of l = 1, where crowded nodes are special and do not meet each other;
-    part 1 for settled crowded nodes; part 2 for the whole sets of the
-    special ones and what is not hot of the settled.
+    ``rows`` is (part, token, node, small, special, l, h, place): part 0 for
+    prefixes of l = 1, where crowded nodes are special and do not meet each
+    other; part 1 for settled crowded nodes; part 2 for mostly hot nodes with
+    rare tokens first.
     """
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     key = ["part", "token"]
@@ -161,20 +195,23 @@ def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, perce
     mixed = counts.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1").select(*key, F.col("most.label").alias("major"))
     rows = rows.join(mixed, key).join(sizes, "node")
     # of each token's nodes, those outside its largest component meet all others
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("node", "label", "small", "special", "l", "h", "n")]
+    names = ("node", "label", "small", "special", "l", "h", "place", "n")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in names]
     pairs = rows.where("label <> major").select(*key, *side("a")).join(rows.select(*key, "major", *side("b")), key)
-    a, b = ({c: F.col(f"{c}_{x}") for c in ("node", "label", "small", "special", "l", "h", "n")} for x in "ab")
+    a, b = ({c: F.col(f"{c}_{x}") for c in names} for x in "ab")
     once = (b["label"] == F.col("major")) | (a["node"] < b["node"])
     fits = (100 * a["n"] >= percent * b["n"]) & (100 * b["n"] >= percent * a["n"])
     small = F.when(a["n"] < b["n"], a["small"]).when(b["n"] < a["n"], b["small"]).otherwise(a["small"] | b["small"])
-    meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, a["special"] | b["special"]).otherwise(True)
     plain_a, plain_b = a["l"] - a["h"], b["l"] - b["h"]
     settled = F.when(a["l"] < b["l"], plain_a).when(b["l"] < a["l"], plain_b).otherwise(F.greatest(plain_a, plain_b))
-    last = F.when(a["special"] & b["special"], F.least(a["l"], b["l"])).when(a["special"], plain_b).otherwise(plain_a)
-    need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(last)
+    need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(F.least(a["l"], b["l"]))
+    # t tokens in common: the l-th of them has t - l after it in either order
+    t = F.ceil(percent * (a["n"] + b["n"]) / F.lit(100 + percent))
+    within = (a["place"] <= a["n"] - t + need - 1) & (b["place"] <= b["n"] - t + need - 1)
+    meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, within).otherwise(True)
     found = pairs.where((a["label"] != b["label"]) & once & fits & small & meets)
     found = found.groupBy("part", F.least(a["node"], b["node"]).alias("u"), F.greatest(a["node"], b["node"]).alias("v")).agg(F.count("*").alias("c"), F.max(need).alias("need"))
-    return found.where("c >= need").select("u", "v").distinct()
+    return found.where("c >= need").select("u", "v")
 
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
@@ -209,8 +246,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     links = materialize(verify(texts, tried, words, percent), "first-links")
     labels = materialize(connected_components(links), "first-labels")
 
-    shape = ["part", "token", "node", "small", "special", "l", "h"]
-    one = {"part": F.lit(0), "special": F.col("k").isNotNull(), "l": F.lit(1).cast("long"), "h": F.lit(0).cast("long")}
+    shape = ["part", "token", "node", "small", "special", "l", "h", "place"]
+    no = F.lit(0).cast("long")
+    one = {"part": F.lit(0), "special": F.col("k").isNotNull(), "l": F.lit(1).cast("long"), "h": no, "place": no}
     rows = first.where(F.col("df") <= HOT).join(small_side(crowded), "node", "left").withColumns(one).select(*shape)
     if not crowded.isEmpty():
         named = texts.withColumnRenamed("doc_id", "node")
@@ -219,12 +257,16 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         hot = second.where(F.col("df") > HOT).groupBy("node").agg(F.count("*").alias("h"))
         state = crowded.join(sizes, "node").join(hot, "node", "left").select("node", "n", (1 + F.least(2 * F.col("k"), F.floor(F.col("n") / 2))).alias("l"), F.coalesce("h", F.lit(0).cast("long")).alias("h"))
         state = materialize(state.withColumn("special", (F.col("h") >= F.col("l")) | (F.col("n") < FEW)), "settled")
-        whole = state.where("special").select("node", F.col("n").alias("extra"), F.ceil(F.col("n") * percent / F.lit(100)).alias("l"), F.lit(0).cast("long").alias("h"), "special")
+        whole = materialize(state.where("special").select("node", F.col("n").alias("extra")), "whole")
         plain = second.where(F.col("df") <= HOT).join(small_side(state), "node").where("not special")
-        sets = prefix_rows(longer(materialize(whole.select("node", "extra"), "whole")), words, percent, whole=True).join(whole.drop("extra"), "node")
-        rows = rows.unionByName(plain.withColumn("part", F.lit(1)).select(*shape))
-        rows = rows.unionByName(plain.withColumn("part", F.lit(2)).select(*shape)).unionByName(sets.withColumn("part", F.lit(2)).select(*shape))
-    rest = cross_candidates(rows, labels, sizes, percent).join(tried, ["u", "v"], "left_anti")
+        rows = rows.unionByName(plain.withColumns({"part": F.lit(1), "place": no}).select(*shape))
+        sets = materialize(prefix_rows(longer(whole), words, percent, whole=True).join(small_side(whole), "node").select("token", "node", F.col("extra").alias("n")), "whole-sets")
+        rare = rare_first(sets, percent).withColumns({"part": F.lit(2), "small": F.lit(True), "special": F.lit(True), "h": no, "place": F.col("place").cast("long")})
+        rows = rows.unionByName(rare.select(*shape))
+    found = cross_candidates(rows, labels, sizes, percent)
+    if not crowded.isEmpty():
+        found = found.unionByName(special_candidates(plain.withColumn("need", F.col("l") - F.col("h")), sets, labels, percent))
+    rest = found.distinct().join(tried, ["u", "v"], "left_anti")
     more = verify(texts, materialize(rest, "candidates"), words, percent)
     labels = materialize(connected_components(links.unionByName(materialize(more, "more-links"))), "labels")
     out = members.join(labels, "node", "left")
