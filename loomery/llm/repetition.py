@@ -158,7 +158,7 @@ def measures(buf: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
 
 
 def repetition_rules(
-    docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.5, max_longest: float = 0.4, short: int = 50
+    docs: DataFrame, min_repeat: int = 8, max_covered: float = 0.4, max_longest: float = 1 / 6, short: int = 50
 ) -> DataFrame:
     """Measure every text of ``docs`` (doc_id, text) and decide whether it is kept.
 
@@ -167,7 +167,9 @@ def repetition_rules(
     repeat.  A text of under ``short`` words, or with more than half of its
     words in repeated three-word windows, fails the base rules.  Of the rest,
     those are kept whose repeats cover at most ``max_covered`` of the words
-    and whose longest is at most ``max_longest`` of them.  A null or empty
+    and whose longest is at most ``max_longest`` of them.  The base rule alone
+    bounds the covered words by a half, and two copies side by side cover
+    twice the longest: each limit is below what the others imply.  A null or empty
     text has no words and fails; a null doc_id stays; repeated rows are
     measured each on its own; other columns are left out.
     """

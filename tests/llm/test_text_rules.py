@@ -70,6 +70,16 @@ def test_long_repeats_decide(spark):
     assert [r.kept for r in rows] == [True, False, True]
 
 
+def test_each_repeat_limit_rejects_by_itself(spark):
+    rng = random.Random(2)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    twice = lambda parts, rest: "\n".join(parts + [fresh(rest)] + parts[::-1])
+    texts = [twice([fresh(30) for _ in range(7)], 480), twice([fresh(170)], 560), twice([fresh(30) for _ in range(5)], 600)]
+    rows = repetition.repetition_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.repeat_words, r.longest_repeat) for r in rows] == [(900, 420, 30), (900, 340, 170), (900, 300, 30)]
+    assert [(r.base_failed, r.kept) for r in rows] == [(False, False), (False, False), (False, True)]
+
+
 def test_shingle_sets_match_python_sets():
     texts = ["", "a", "a b c d", "A b C d e", "a b c d e a b c d e a b c d e", "é è\tx y z w", " "]
     sets = {}
