@@ -204,9 +204,9 @@ def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, perce
     small = F.when(a["n"] < b["n"], a["small"]).when(b["n"] < a["n"], b["small"]).otherwise(a["small"] | b["small"])
     plain_a, plain_b = a["l"] - a["h"], b["l"] - b["h"]
     settled = F.when(a["l"] < b["l"], plain_a).when(b["l"] < a["l"], plain_b).otherwise(F.greatest(plain_a, plain_b))
-    need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(F.least(a["l"], b["l"]))
-    # t tokens in common: the l-th of them has t - l after it in either order
+    # t tokens in common: the l-th of them has t - l after it in either order; of fewer than l all are in the prefix
     t = F.ceil(percent * (a["n"] + b["n"]) / F.lit(100 + percent))
+    need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(F.least(a["l"], b["l"], t))
     within = (a["place"] <= a["n"] - t + need - 1) & (b["place"] <= b["n"] - t + need - 1)
     meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, within).otherwise(True)
     found = pairs.where((a["label"] != b["label"]) & once & fits & small & meets)

@@ -72,6 +72,13 @@ def test_components_match_brute_force(spark, monkeypatch, hot):
     assert sorted(map(tuple, found)) == sorted(brute_components(rows))
 
 
+def test_hot_families_of_short_texts_match_brute_force(spark):
+    family = lambda name, n, k, first: [(first + i, " ".join([f"{name}{j}" for j in range(n)] + [f"own{first + i}"] * (i != k))) for i in range(31)]
+    rows = family("b", 8, 15, 0) + family("c", 7, 14, 100) + family("d", 9, 15, 200)
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+
+
 def test_components_of_odd_rows(odd, odd_rows):
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()}
     want = {w for w in brute_components([r[:2] for r in odd_rows]) if w[0] is not None}
