@@ -170,7 +170,8 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
 def special_candidates(plain: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(u, v) of a settled and a mostly hot node: ``plain`` (token, node, small, n, need) and ``sets`` (token, node, n).
 
-    At most HOT settled nodes share a token of ``plain``.
+    ``plain`` has all tokens of settled prefixes that are not hot and in any of
+    ``sets``; at most HOT settled nodes share one.
     """
     label = lambda x: labels.select(F.col("node").alias(f"node_{x}"), F.col("label").alias(f"label_{x}"))
     a = plain.select("token", "small", "need", F.col("node").alias("node_a"), F.col("n").alias("n_a")).join(label("a"), "node_a", "left")
@@ -265,7 +266,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         rows = rows.unionByName(rare.select(*shape))
     found = cross_candidates(rows, labels, sizes, percent)
     if not crowded.isEmpty():
-        found = found.unionByName(special_candidates(plain.withColumn("need", F.col("l") - F.col("h")), sets, labels, percent))
+        # of the settled prefixes also what no other prefix holds: a whole set may have it past its own prefix
+        wanted = materialize(sets.select("token").distinct(), "whole-tokens")
+        hot_tokens = materialize(second.where(F.col("df") > HOT).select("token").distinct(), "hot-tokens")
+        settled = materialize(state.where("not special").join(crowded, "node").select("node", "n", (F.col("l") - F.col("h")).alias("need"), (2 * F.col("k")).alias("extra")), "settled-nodes")
+        inside = prefix_rows(longer(settled.select("node", "extra")), words, percent).join(small_side(wanted), "token", "left_semi").join(small_side(hot_tokens), "token", "left_anti")
+        found = found.unionByName(special_candidates(inside.join(small_side(settled.drop("extra")), "node"), sets, labels, percent))
     rest = found.distinct().join(tried, ["u", "v"], "left_anti")
     more = verify(texts, materialize(rest, "candidates"), words, percent)
     labels = materialize(connected_components(links.unionByName(materialize(more, "more-links"))), "labels")

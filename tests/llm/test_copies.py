@@ -3,9 +3,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from loomery.llm import jaccard, substrings
 from loomery.llm.components import connected_components
+from loomery.llm.kernels import shingle_sets
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -79,6 +81,21 @@ def test_hot_families_of_short_texts_match_brute_force(spark):
     assert sorted(map(tuple, found)) == sorted(brute_components(rows))
 
 
+def test_whole_set_meets_a_longer_prefix_past_its_own(spark):
+    words = [f"t{i}" for i in range(1500)]
+    hashes = next(shingle_sets(pa.array(words), 1))[1]
+    words = [words[i] for i in hashes.argsort()]
+    shared, own = words[:15], iter(words[15:])
+    more = lambda n: [next(own) for _ in range(n)]
+    rows = [(1000, shared), (1001, shared + more(5))]
+    for first in (0, 2000):
+        rows += [(first + i, [shared[0], shared[4], shared[5], *more(17)]) for i in range(15)]
+        rows.append((first + 20, shared[1:4] + more(17)))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(docs, words=1).collect()}
+    assert found == {i: 1000 if i == 1001 else i for i, _ in rows}
+
+
 def test_components_of_odd_rows(odd, odd_rows):
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(odd).collect()}
     want = {w for w in brute_components([r[:2] for r in odd_rows]) if w[0] is not None}
