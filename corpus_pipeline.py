@@ -33,10 +33,10 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document is used once or more often, as its source's weight asks."""
+    """Every document is used once or more often, as its source's weight asks; rows are in the mix's order."""
     counted = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", mixing.count_words(F.col("text")).alias("n_tokens"))
     mixed = mixing.mix(counted, MIX_ENTROPY, MIX_REPETITION, block_tokens=MIX_BLOCK)
-    return mixed.select("row.*")
+    return mixing.in_order(mixed).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

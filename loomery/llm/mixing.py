@@ -138,3 +138,9 @@ def with_positions(mixed: DataFrame, seed: str = "0") -> DataFrame:
     """Add ``position``, a permutation of each block; blocks have bounded size."""
     order = W.partitionBy("block").orderBy(hex_key(seed + ":block"), "n_tokens")
     return mixed.withColumn("position", F.row_number().over(order).cast("long"))
+
+
+def in_order(mixed: DataFrame, seed: str = "0") -> DataFrame:
+    """``mixed`` by block and, in each block, by :func:`with_positions`' order: written, its files follow each other so."""
+    order = [F.col("block"), hex_key(seed + ":block"), F.col("n_tokens")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order)

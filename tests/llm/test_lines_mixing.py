@@ -2,6 +2,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pytest
 from loomery.llm import lines, mixing
 from pyspark.sql import functions as F
@@ -91,6 +92,15 @@ def test_blocks_hold_each_source_by_weight(spark):
     assert all(sorted(p) == list(range(1, len(p) + 1)) for p in places.values())
 
 
+def test_mixing_stage_keeps_the_order_of_the_mix(spark, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "MIX_BLOCK", 1000)
+    docs = spark.createDataFrame([(i, "a" if i % 4 else "b", "some words " * (2 + i % 3)) for i in range(2000)], "doc_id long, source string, text string")
+    counts = docs.select("doc_id", "source", mixing.count_words(F.col("text")).alias("n_tokens"))
+    mixed = mixing.with_positions(mixing.mix(counts, corpus_pipeline.MIX_ENTROPY, corpus_pipeline.MIX_REPETITION, block_tokens=1000))
+    want = [r.doc_id for r in mixed.orderBy("block", "position").collect()]
+    assert [r.doc_id for r in corpus_pipeline.mixing_stage(spark, docs, "").collect()] == want and len(want) >= 2000
+
+
 def test_mix_of_nothing(odd):
     assert mixing.mix(counted(odd).limit(0)).count() == 0
 
