@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -11,18 +12,30 @@ from loomery.llm.queries import byte_bpe
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(byte_bpe())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(byte_bpe())
 
 
-def test_words_give_the_tokenizers_ids(tokenizer):
-    texts = ["", "a", " a", "a ", "a  b", "don't stop", "x\n y", "x \ny", " x y", "été naïve 中文 test", "1234 5678,90", "<|endoftext|> <|endoftext|>x", "tab\tsep end", "\x1f x \x1c", "emoji 😀 !? ...", " \n"]
+def test_texts_give_the_tokenizers_ids(tokenizer):
+    texts = ["", "a", " a", "a ", "a  b", "don't stop", "x\n y", "x \ny", " x y", "été naïve 中文 test", "1234 5678,90", "a<|endoftext|>b", "<|endoftext|> <|endoftext|>x", "<|endoftext", "tab\tsep end", "\x1f x \x1c", "emoji 😀 !? ...", " \n"]
+    rng = random.Random(4)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "a", "é", "'s", "'", "1", "中", ".", "\u3000", "\u200b", "X", "!!", "the", "ing", "😀", "\x85", "\xa0", "<|endoftext|>", "<|", "\u0301", "ß", "٣", "Ⅳ"]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 60))) for _ in range(20_000)]
+    texts += [f"a{chr(c)}b {chr(c)} 1{chr(c)}{chr(c)}. '{chr(c)} \n{chr(c)}x" for c in range(1, 0x3000)]
     encoder = packing.PieceEncoder(byte_bpe())
     assert encoder.quick is not None
-    for _ in range(2):
-        for t, got in zip(texts, encoder.encode(texts), strict=True):
-            assert np.frombuffer(got, dtype="<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids, t
+    for t, want in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(encoder.encode(t), dtype="<u4").tolist() == want.ids, t
+
+
+def test_files_of_other_kinds_take_the_tokenizer():
+    import public_tokenizers
+
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder = packing.PieceEncoder(path)
+    assert encoder.quick is None
+    assert np.frombuffer(encoder.encode("Some words  HERE"), dtype="<u4").tolist() == Tokenizer.from_file(path).encode("Some words  HERE", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [1, 2047, 2048, 2049, 4096, 5000])
@@ -52,6 +65,18 @@ def test_packing_is_whole_and_within_capacity(spark, odd, odd_rows, tokenizer):
     assert packing.pack_documents(odd.limit(0), byte_bpe()).count() == 0
 
 
+def test_documents_and_attention_bind_in_a_packed_table(spark, odd):
+    rows = packing.pack_documents(odd, byte_bpe(), 64, max_documents=3, max_attention=3000.0 + 64**2, shard_rows=400).collect()
+    free = packing.pack_documents(odd, byte_bpe(), 64, shard_rows=400).collect()
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append(r.length)
+    assert all(len(b) <= 3 and sum(b) <= 64 and sum(x * x for x in b) <= 3000 + 64**2 for b in bins.values())
+    assert sorted((r.doc_id is None, r.doc_id, r.piece, r.ids_crc32) for r in rows if r.doc_id) == sorted((r.doc_id is None, r.doc_id, r.piece, r.ids_crc32) for r in free if r.doc_id)
+    bound = max(-(-sum(map(sum, bins.values())) // 64), -(-len(rows) // 3), -(-sum(x * x for b in bins.values() for x in b) // (3000 + 64**2)))
+    assert len({r.sequence_id for r in free}) <= len(bins) <= 1.1 * bound + 2
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_every_budget_holds(rule):
     rng = np.random.default_rng(1)
