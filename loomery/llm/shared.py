@@ -1,8 +1,8 @@
 """Session helpers that the operators of this subpackage share.
 
 Intermediate tables are written as Parquet below the folder named by
-``spark.checkpoint.dir``, which driver and executors share.  A folder is
-chosen here only when the session names none (as in local tests).
+``spark.checkpoint.dir``, which driver and executors share.  Only a local
+master may leave the setting out; a folder is then chosen here.
 """
 
 from __future__ import annotations
@@ -10,11 +10,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Largest table, in bytes on disk, that a join may broadcast; above it the join shuffles.
-BROADCAST_BYTES = 24 << 20
+#: Largest table, in bytes of its rows in memory, that a join may broadcast; above it the join shuffles.
+BROADCAST_BYTES = 32 << 20
+
+#: Bytes of the rows of each table made by :func:`materialize`, by the name of its folder.
+_row_bytes: dict[str, int] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomery-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,43 +37,51 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/loomery/{label}-{uuid.uuid4().hex}"
 
 
+def _width(value: Column, kind: T.DataType) -> Column:
+    """Bytes of one value in memory, about."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return 8 + F.coalesce(F.octet_length(value), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        inner = sum(8 for _ in kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return 24 + inner * F.coalesce(F.size(value), F.lit(0))
+    if isinstance(kind, T.StructType):
+        return sum((_width(value[f.name], f.dataType) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: a durable cut of the lineage."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    seen = Observation()
+    width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
+    df.observe(seen, F.sum(width.cast("long")).alias("bytes")).write.parquet(path)
+    _row_bytes[path.rsplit("/", 1)[1]] = seen.get["bytes"] or 0
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(df: DataFrame) -> None:
-    """Delete the files of a table made by :func:`materialize` that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loomery/" in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _folders(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
 
 
-def size_on_disk(df: DataFrame) -> int:
-    """Bytes of the files behind a table made by :func:`materialize`."""
-    spark = df.sparkSession
-    jvm, total = spark._jvm, 0
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return total
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_materialized(*tables: DataFrame) -> None:
+    """Delete the files of tables made by :func:`materialize` that nothing reads any more."""
+    for df in tables:
+        for folder in _folders(df):
+            if "/loomery/" in folder:
+                delete_folder(df.sparkSession, folder)
+                _row_bytes.pop(folder.rsplit("/", 1)[1], None)
 
 
 def small_side(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its files are within ``limit`` bytes, else ``df`` as it is."""
-    return F.broadcast(df) if size_on_disk(df) <= limit else df
+    """``df``, of tables made by :func:`materialize`, with a broadcast hint if the rows of these are within ``limit`` bytes."""
+    return F.broadcast(df) if sum(_row_bytes[f.rsplit("/", 1)[1]] for f in _folders(df)) <= limit else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def input_bytes(df: DataFrame) -> int:
-    """Estimated size of ``df`` from the plan's statistics, without a job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
