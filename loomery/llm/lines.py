@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, small_side
+from .shared import delete_folder, fresh_path, materialize, small_side
 
 _BLANKS = " \t\n\x0b\x0c\r"
 HASH = ["h1", "h2"]
@@ -54,10 +54,12 @@ class LineRuns:
         self.spark, self.min_docs, self.min_chars, self.fanout = spark, min_docs, min_chars, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = [[]]
+        self.paths: dict[str, str] = {}
 
     def _write(self, run: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", fresh_path(self.spark, "line-run")).saveAsTable(name)
+        self.paths[name] = fresh_path(self.spark, "line-run")
+        run.write.bucketBy(self.buckets, *HASH).sortBy(*HASH).option("path", self.paths[name]).saveAsTable(name)
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
@@ -80,9 +82,20 @@ class LineRuns:
                     self.levels.append([])
                 self.levels[k + 1].append(self._write(self._merged(level)))
                 for name in level:
-                    self.spark.sql(f"DROP TABLE {name}")
+                    self._drop(name)
                 level.clear()
 
+    def _drop(self, name: str) -> None:
+        """Forget a run and delete its files, which an external table would leave behind."""
+        self.spark.sql(f"DROP TABLE {name}")
+        delete_folder(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drop all runs; what :meth:`frequent` gave must have been written out before."""
+        for name in [n for level in self.levels for n in level]:
+            self._drop(name)
+        self.levels = [[]]
+
     def frequent(self) -> DataFrame:
         """(h1, h2) of the lines that reach ``min_docs`` over all runs."""
         names = [n for level in self.levels for n in level]
@@ -96,10 +109,10 @@ def _row_key() -> list[Column]:
 
 
 def drop_frequent(docs: DataFrame, frequent: DataFrame) -> DataFrame:
-    """``docs`` with n_lines, n_dropped and kept_text, where lines of ``frequent`` are gone."""
+    """``docs`` with n_lines, n_dropped and kept_text, where lines of ``frequent``, a written table, are gone."""
     keyed = docs.select(*_row_key(), F.posexplode(split_lines(lower_ascii(F.col("text")))).alias("pos", "line"))
     keyed = keyed.withColumn("key", line_key(F.col("line"))).where(F.col("key") != "").select("k1", "k2", "pos", *hashes(F.col("key")))
-    hits = keyed.join(small_side(materialize(frequent, "frequent-lines")), HASH, "left_semi")
+    hits = keyed.join(small_side(frequent), HASH, "left_semi")
     gone = materialize(hits.groupBy("k1", "k2").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "dropped-lines")
 
     # one character for each line, 1 where it goes, so a text is put together in one pass
@@ -132,4 +145,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, batches
     batch = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(batches))
     for k in range(batches):
         runs.add(docs.where(batch == k))
-    return drop_frequent(docs, runs.frequent())
+    frequent = materialize(runs.frequent(), "frequent-lines")
+    runs.close()
+    return drop_frequent(docs, frequent)
