@@ -50,7 +50,11 @@ class AtomicFile:
 
     def close(self) -> None:
         self.out.close()
-        self.store.move(self.draft, self.path)
+        # a task that ran before has left the same file: some stores do not move onto it
+        if self.store.get_file_info(self.path).type == fs.FileType.File:
+            self.store.delete_file(self.draft)
+        else:
+            self.store.move(self.draft, self.path)
 
 
 def record(page_id, url: str | None, payload: bytes | None, digest: str, size: int, refers_to=None, date: str = "1970-01-01T00:00:00Z") -> bytes:
