@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize
 
@@ -21,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Bisection steps in all, and those that one pass over the source table settles.
 STEPS, STEPS_A_PASS = 40, 5
 #: Rows of one source and epoch that are summed up in order by one task, at most about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def count_words(text: Column) -> Column:
@@ -92,8 +93,15 @@ def mix_weights(docs: DataFrame, entropy: float = 0.9, max_repetition: float = 4
     return sources.select("sid", "tokens", weight.alias("weight"), F.floor(weight * F.lit(whole) * F.lit(1 + 1e-9)).cast("long").alias("quota"))
 
 
-def hex_key(seed: str) -> Column:
-    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"), F.lit(seed)).cast("binary"))
+def hex_key(seed: str, name: Column | None = None) -> Column:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")) if name is None else name
+    return F.md5(F.concat_ws(":", name, F.col("epoch").cast("string"), F.lit(seed)).cast("binary"))
+
+
+def row_name(docs: DataFrame) -> Column:
+    """The doc_id, or for a row without one a hash of its other columns, so that such rows do not share a place."""
+    rest = [c.name for c in docs.schema.fields if not isinstance(c.dataType, T.MapType | T.VariantType)]
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("-"), F.xxhash64(*rest).cast("string")))
 
 
 def mix(docs: DataFrame, entropy: float = 0.9, max_repetition: float = 4.0, budget: int | None = None, block_tokens: int = 1 << 20, seed: str = "0") -> DataFrame:
@@ -117,15 +125,15 @@ def mix(docs: DataFrame, entropy: float = 0.9, max_repetition: float = 4.0, budg
     def spread(rows: DataFrame) -> DataFrame:
         """A row for each epoch that its source reaches into, with its place in the permutation."""
         rows = rows.withColumn("sid", source_key(F.col("source"))).join(weights.select("sid", "tokens", "quota"), "sid")
-        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole))).withColumn("key", hex_key(seed))
+        rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), whole))).withColumn("key", hex_key(seed, F.col("name")))
         return rows.withColumn("bucket", F.substring("key", 1, digits))
 
     place = ["sid", "epoch", "bucket"]
-    sums = spread(docs.select("doc_id", "source", "n_tokens")).groupBy(*place).agg(F.sum("n_tokens").alias("own"))
+    sums = spread(docs.select(row_name(docs).alias("name"), "source", "n_tokens")).groupBy(*place).agg(F.sum("n_tokens").alias("own"))
     before = F.sum("own").over(W.partitionBy("sid", "epoch").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     sums = sums.select(*place, F.coalesce(before, F.lit(0)).alias("before"))
     upto = F.sum("n_tokens").over(W.partitionBy(*place).orderBy("key", "n_tokens").rowsBetween(W.unboundedPreceding, 0))
-    own = spread(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "n_tokens"))
+    own = spread(docs.select(F.struct(*docs.columns).alias("row"), row_name(docs).alias("name"), "source", "n_tokens"))
     placed = own.withColumn("upto", upto).join(sums, place).withColumn("upto", F.col("upto") + F.col("before"))
     placed = placed.where((F.col("epoch") < whole) | (F.col("upto") <= rest))
     at = F.col("epoch") * F.col("tokens") + F.col("upto") - F.col("n_tokens")
