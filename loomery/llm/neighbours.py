@@ -14,6 +14,7 @@ component, sqrt(M^2 - |x|^2) with M the largest norm of the block.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,7 +79,7 @@ class CollisionIndex:
         p = math.erf(WINDOW / math.sqrt(2))
         least = max(1, math.floor(m * p - SLACK * math.sqrt(m * p * (1 - p))))
         base, scale = np.einsum("ij,ij->i", queries, queries) + self.top, WINDOW / math.sqrt(self.axes.shape[1])
-        state = [(np.zeros(n, dtype=np.int64), self.ids == i, np.zeros(0, dtype=np.int64), np.zeros(0)) for i in own]
+        state = [(np.zeros(n, dtype=np.int32), self.ids == i, np.zeros(0, dtype=np.int64), np.zeros(0)) for i in own]
         radius = self.first_radii(queries, k)
         active = np.arange(len(queries))
         lo = hi = np.zeros((len(queries), m), dtype=np.int64)
@@ -96,7 +97,7 @@ class CollisionIndex:
                 else:
                     ring = [o[a:b] for o, a, b in zip(self.order, left[i], lo[i], strict=True)] + [o[a:b] for o, a, b in zip(self.order, hi[i], right[i], strict=True)]
                 counts, verified, found, scores = state[i]
-                counts += np.bincount(np.concatenate(ring), minlength=n)
+                counts += np.bincount(np.concatenate(ring), minlength=n).astype(np.int32)
                 new = np.flatnonzero((counts >= least) & ~verified)
                 verified[new] = True
                 found = np.concatenate([found, new])
@@ -117,7 +118,19 @@ class CollisionIndex:
         return out
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, count: int = 64, block_rows: int = 4096, block_queries: int = 512, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def _found(index: CollisionIndex, asked: pa.RecordBatch, k: int, batch_queries: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, score) of the nearest rows of one block for the queries of a batch."""
+    own = asked.column("id").to_numpy()
+    values = asked.column("v").flatten().to_numpy().reshape(len(own), -1)
+    for at in range(0, len(own), batch_queries):
+        part = slice(at, at + batch_queries)
+        hits = index.search(own[part], values[part], k)
+        query = np.repeat(own[part], [len(x) for x, _ in hits])
+        found = np.concatenate([index.ids[x] for x, _ in hits])
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(found), pa.array(np.concatenate([s for _, s in hits]))], names=["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, count: int = 64, block_rows: int = 8192, batch_queries: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` rows of ``vectors`` with the largest inner product for each row of ``queries``.
 
     Returns query_id, rank (from 1), vec_id and score in double precision,
@@ -125,35 +138,39 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, count: int = 64
     that are null, zero or hold null or non-finite components, take no part;
     a row with a query's own id is never its answer; repeated rows are
     answers each on its own; vectors are compared only with vectors of their
-    length.  Vectors and queries are dealt in blocks of bounded size and every
-    block of queries meets every block of vectors.
+    length; an empty table of either kind gives an empty result.
+
+    Vectors are dealt once into blocks of about ``block_rows``; only the
+    queries, a stated set, are copied to the blocks.  A block's rows come
+    sorted, its vectors before its queries: its arrays are built once and the
+    queries stream past them, ``batch_queries`` at a time.
     """
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable("v"))
-    v_blocks, q_blocks = max(1, -(-own.count() // block_rows)), max(1, -(-asked.count() // block_queries))
-
-    def dealt(rows: DataFrame, name: str, blocks: int, other: str, others: int, query: bool) -> DataFrame:
-        block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-        each = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
-        cell = {name: block, other: each}
-        return rows.select(F.size("v").alias("dim"), cell["vb"].alias("vb"), cell["qb"].alias("qb"), F.lit(query).alias("is_query"), "id", "v")
-
-    cells = dealt(own, "vb", v_blocks, "qb", q_blocks, False).unionByName(dealt(asked, "qb", q_blocks, "vb", v_blocks, True))
-
-    def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        is_query = t.column("is_query").to_numpy(zero_copy_only=False)
-        values = t.column("v").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        query, found, score = [], [], []
-        if (~is_query).any():
-            index = CollisionIndex(ids[~is_query], np.ascontiguousarray(values[~is_query]), count)
-            for own_id, (at, s) in zip(ids[is_query], index.search(ids[is_query], values[is_query], k), strict=True):
-                query.append(np.full(len(at), own_id))
-                found.append(index.ids[at])
-                score.append(s)
-        join = lambda x, kind: np.concatenate([*x, np.zeros(0)]).astype(kind)
-        return pa.table({"query_id": pa.array(join(query, np.int64)), "vec_id": pa.array(join(found, np.int64)), "score": pa.array(join(score, np.float64))})
-
-    near = cells.groupBy("dim", "vb", "qb").applyInArrow(run, "query_id long, vec_id long, score double")
+    blocks = max(1, -(-own.count() // block_rows))
+    place = [F.size("v").alias("dim"), F.col("block"), F.col("is_query"), F.col("id"), F.col("v")]
+    dealt = own.withColumns({"block": F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), "is_query": F.lit(False)}).select(*place)
+    copied = asked.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "is_query": F.lit(True)}).select(*place)
+    cells = dealt.unionByName(copied).repartition(blocks, "dim", "block").sortWithinPartitions("dim", "block", "is_query")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, index = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).cast(pa.int64()).to_numpy(zero_copy_only=False) for c in ("dim", "block", "is_query")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if cell != tuple(keys[a, :2]):
+                    cell, held, index = tuple(keys[a, :2]), [], None
+                part = batch.slice(a, b - a)
+                if not keys[a, 2]:
+                    held.append((part.column("id").to_numpy(), part.column("v").flatten().to_numpy().reshape(b - a, -1)))
+                elif held:
+                    if index is None:
+                        index = CollisionIndex(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), count)
+                    yield from _found(index, part, k, batch_queries)
+
+    near = cells.mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -49,7 +49,7 @@ def brute(ids, v, i, k):
 
 def test_neighbours_reach_recall(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
-    found = neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 20, block_rows=700, block_queries=40).toPandas()
+    found = neighbours.nearest(rows, rows.where("vec_id % 20 = 0"), 20, block_rows=700, batch_queries=40).toPandas()
     data = rows.toPandas()
     ids, v = data["vec_id"].to_numpy(), np.vstack(data["embedding"]).astype(np.float64)
     hit = 0
