@@ -178,7 +178,9 @@ FROM w
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes in strings of 400 bytes that are found twice or more leave every document."""
     out = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), 400)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    # what is left as text: a cut inside a character leaves a replacement mark
+    kept = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"), kept.alias("kept_text"))
 
 
 @query
