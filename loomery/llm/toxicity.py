@@ -116,8 +116,8 @@ class OrdinalRegression:
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade): 0 for clean and 1 for toxic rows; rows without a 0/1 label or doc_id are left out."""
-    return labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
+    """(doc_id, grade): ``toxic`` as an ordered grade from 0, the worst of a document's; rows without a grade or doc_id are left out."""
+    return labels.where((F.col("toxic") >= 0) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
@@ -128,26 +128,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame
 
 
 def fit_severity(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_features: int = 8192) -> tuple[np.ndarray, OrdinalRegression]:
-    """Vocabulary and model from a bounded sample of labelled documents.
+    """Vocabulary and model from a bounded sample of labelled documents (doc_id, grade).
 
-    Labels say only whether a document is toxic.  Toxic ones are graded 1 or
-    2 by whether the density of features that go with toxicity is under or
-    over their median, so the model has ordered grades 0, 1, 2.
+    The grades are those of the labels: one threshold for each grade above 0,
+    so 0/1 labels give one and a finer scale as many as it has steps.  What
+    is gathered is bounded by ``max_labelled`` rows of at most
+    ``max_features`` features.
     """
     sample = materialize(labelled_sample(docs, labels, max_labelled), "toxicity-sample")
     vocabulary = select_vocabulary(feature_rows(sample, "grade"), F.col("grade") > 0, max_features)
-    rows = feature_rows(sample.withColumn("grade", F.struct("grade", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"))), "grade", vocabulary).toPandas()
+    rows = feature_rows(sample, "grade", vocabulary).toPandas()
     counts = [len(x) for x in rows["ids"]]
     bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
     ids = np.concatenate([*rows["ids"], np.zeros(0)]).astype(np.int64)
     values = np.log1p(np.concatenate([*rows["counts"], np.zeros(0)]).astype(np.float64))
-    toxic = np.array([g["grade"] for g in rows["grade"]], dtype=np.int64)
-    chars = np.array([g["chars"] for g in rows["grade"]], dtype=np.float64)
-    first = OrdinalRegression.fit(bounds, ids, values, toxic, len(vocabulary))
-    strong = first.weights > 0
-    density = np.bincount(np.repeat(np.arange(len(toxic)), np.diff(bounds)), weights=strong[ids], minlength=len(toxic)) / np.maximum(chars, 1)
-    middle = np.median(density[toxic == 1]) if (toxic == 1).any() else 0.0
-    return vocabulary, OrdinalRegression.fit(bounds, ids, values, toxic + ((toxic == 1) & (density > middle)), len(vocabulary))
+    return vocabulary, OrdinalRegression.fit(bounds, ids, values, rows["grade"].to_numpy(dtype=np.int64), len(vocabulary))
 
 
 def score_severity(docs: DataFrame, vocabulary: np.ndarray, model: OrdinalRegression) -> DataFrame:
@@ -173,10 +168,11 @@ def score_severity(docs: DataFrame, vocabulary: np.ndarray, model: OrdinalRegres
 def grade_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = 30_000, max_features: int = 8192) -> DataFrame:
     """Fit on ``labels`` (doc_id, toxic) and grade every row of ``docs`` (doc_id, text).
 
-    A null or empty text has no features and gets the prior; a null doc_id
+    ``toxic`` is 0 for clean and 1, 2, ... for ordered grades.  A null or empty text has no features and gets the prior; a null doc_id
     stays; repeated rows are graded each on its own; other columns are left
     out.  Of several labels of one document the worst counts.  Without
-    labels of both kinds nothing is graded toxic.
+    labels of both kinds nothing is graded toxic; an empty table of documents
+    gives an empty result.
     """
     vocabulary, model = fit_severity(docs, graded_labels(labels), max_labelled, max_features)
     return score_severity(docs, vocabulary, model)
