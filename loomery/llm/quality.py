@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .kernels import mix64, prefix_hash, span_hash, text_slices, word_spans
+from .kernels import lower_ascii, mix64, prefix_hash, span_hash, text_slices, word_spans
 from .repetition import per_row, repeated
 
-#: Hashed slots of each metadata text column.
-SLOTS = 64
+#: Hashed slots of each metadata text column, and of the words of a text.
+SLOTS, WORD_SLOTS = 64, 256
+#: Columns of the text view: its words and 15 measures of its making.
+TEXT_WIDTH = WORD_SLOTS + 15
 TEXT_COLUMNS = ("source", "lang")
 
 
 def text_view(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """What the bytes of each text say about its making, one row per text."""
+    """Which words each text holds, as shares of hashed slots, and what its bytes say of its making; one row per text.
+
+    The text's length is left to the metadata view.
+    """
     n = len(offsets) - 1
     size = np.maximum(np.diff(offsets), 1).astype(np.float64)
 
@@ -55,15 +60,21 @@ def text_view(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     shout = upper[start] & upper[np.minimum(start + 1, np.maximum(len(buf) - 1, 0))] if len(start) else np.zeros(0, dtype=bool)
     lines = share(buf == 10) * size + 1
     mean = lambda mask: np.bincount(row, weights=mask, minlength=n) / some
-    length = np.log1p(words)
-    return np.stack(
+    # words as they are read: lower-cased, without a mark of ASCII at their ends
+    content = prefix_hash(lower_ascii(buf))
+    mark = np.isin(buf, np.frombuffer(b",.!?;:\"'()", dtype=np.uint8)) if len(buf) else np.zeros(1, dtype=bool)
+    stop = end - (mark[end - 1] & (end - start > 1)) if len(end) else end
+    slot = (mix64(span_hash(content, start, stop)) % np.uint64(WORD_SLOTS)).astype(np.int64)
+    held = np.bincount(row * WORD_SLOTS + slot, minlength=n * WORD_SLOTS).reshape(n, WORD_SLOTS)
+    measures = np.stack(
         [
             distinct, mean(same), mean(thrice), mean(np.minimum(end - start, 40)) / 10, mean(shout), mean((last == 33) | (last == 63)), mean((last == 46) | (last == 44)),
             mean(symbol[end - 1]) if len(end) else np.zeros(n), share(upper), share(lower), share((buf >= 48) & (buf <= 57)), share(symbol), share(buf >= 128), np.minimum(some / lines, 200) / 50,
-            length / 5, np.maximum(0, 3 - length) / 3, (words == 0).astype(np.float64),
+            (words == 0).astype(np.float64),
         ],
         axis=1,
     )
+    return np.hstack([np.sqrt(held / some[:, None]), measures])
 
 
 def metadata_view(batch: pa.RecordBatch) -> np.ndarray:
@@ -163,7 +174,7 @@ class CoTrained:
 
 def _both_views(batch: pa.RecordBatch) -> list[np.ndarray]:
     text = [text_view(buf, offsets) for _, buf, offsets in text_slices(batch.column("text"))]
-    return [np.vstack(text) if text else np.zeros((0, 17)), metadata_view(batch)]
+    return [np.vstack(text) if text else np.zeros((0, TEXT_WIDTH)), metadata_view(batch)]
 
 
 def view_columns(docs: DataFrame) -> list[str]:
@@ -192,7 +203,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, ma
     pool = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("quality", F.lit(-1))
     # both samples are bounded, two numbers a row
     sample = docs.select(*view_columns(docs)).join(F.broadcast(chosen.unionByName(pool)), "doc_id")
-    rows = view_rows(sample, "quality").toPandas().sort_values("doc_id", kind="stable")
+    rows = view_rows(sample, "quality").toPandas().sort_values("doc_id", kind="stable").sample(frac=1.0, random_state=0)
     if not len(rows):
         return None
     y = rows["quality"].to_numpy()
@@ -208,7 +219,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     adds nothing; a null doc_id stays; repeated rows are scored each on its
     own; all columns of ``docs`` stay.  Of several labels of a document the
     worst counts.  Without labels of both kinds every score is one half and
-    all is kept.
+    all is kept; an empty table gives an empty result.
     """
     model = fit_quality(docs, labels, max_labelled, max_pool, rounds)
     added = ("text_score", "metadata_score", "quality_score", "kept")
