@@ -14,8 +14,9 @@ documents is hot: it costs too many candidates and makes none.
   verified.
 * The few crowded documents that are mostly hot take part with their whole
   sets.  Among themselves their shingles are ordered anew, rare ones first,
-  and the places of a shared shingle must allow for the overlap that the two
-  sizes ask for: a copy with too many changes of its own meets nobody.
+  each takes the l with the least estimated candidates, and the places of a
+  shared shingle must allow for the overlap that the two sizes ask for: a
+  copy with too many changes of its own meets nobody.
 
 Documents of equal sets are one node.  First every node is verified against
 the node it shares most prefix shingles with, among the least and the largest
@@ -37,13 +38,13 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import shingle_sets
-from .shared import materialize, small_side
+from .shared import drop_materialized, materialize, small_side
 
 #: Documents above which a shingle is hot, and shingles under which a crowded set is taken whole.
 HOT, FEW = 24, 16
 
-#: l - 1 of mostly hot documents whose rare-first prefix still holds a hot shingle.
-MORE = 4
+#: A token that MEGA_SEEN or more of one in MEGA_SAMPLE nodes hold is not counted by a window.
+MEGA_SAMPLE, MEGA_SEEN = 64, 256
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -100,10 +101,21 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, whole: bool = False)
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
-    """``rows`` of tokens of two nodes or more, with their number and the least and largest node."""
+    """``rows``, a table that is read twice, of tokens of two nodes or more, with their number and the least and largest node.
+
+    A token of few nodes is counted by a window.  One that a sample of the
+    nodes finds often may be in a third of all documents and would be one
+    task's work there: such tokens are counted by partial aggregation and
+    joined back.  Which way a token takes does not change its rows.
+    """
+    stats = {"df": F.count("*"), "lo": F.min("node"), "hi": F.max("node")}
+    sampled = rows.where(F.pmod(F.xxhash64("node"), F.lit(MEGA_SAMPLE)) == 0).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= MEGA_SEEN)
+    mega = small_side(materialize(sampled.select("token"), "mega-tokens"))
     own = W.partitionBy("token")
-    seen = rows.withColumns({"df": F.count("*").over(own), "lo": F.min("node").over(own), "hi": F.max("node").over(own)})
-    return seen.where("lo < hi")
+    usual = rows.join(mega, "token", "left_anti").withColumns({name: c.over(own) for name, c in stats.items()})
+    many = rows.join(mega, "token", "left_semi")
+    counted = small_side(materialize(many.groupBy("token").agg(*(c.alias(name) for name, c in stats.items())), "mega-counts"))
+    return usual.unionByName(many.join(counted, "token").select(*usual.columns)).where("lo < hi")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -155,15 +167,22 @@ def leaders(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """(token, node, place, l): prefixes of whole ``sets`` (token, node, n), rare tokens first.
 
-    A prefix with a hot token gets l = 1 + MORE, others l = 1; tokens of one
-    set only keep their place but make no row.
+    A candidate shares l tokens of an l-prefix, so there are at most
+    sum(df - 1) / l of them over the prefix.  Each set takes the l with the
+    least of these estimates (the smaller l of equal ones); a set whose
+    tokens are rare keeps l = 1, and the hotter its tokens, the longer its
+    prefix and the more of it a partner must share.  Tokens of one set only
+    keep their place but make no row.
     """
     counted = sets.join(sets.groupBy("token").agg(F.count("*").alias("df")), "token")
-    placed = counted.withColumn("place", F.row_number().over(W.partitionBy("node").orderBy("df", "token")) - 1)
-    usual = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)) + 1
-    near = placed.where(F.col("place") < usual + MORE)
-    crowd = F.max(((F.col("place") < usual) & (F.col("df") > HOT)).cast("long")).over(W.partitionBy("node"))
-    near = near.withColumn("l", 1 + MORE * crowd)
+    order = W.partitionBy("node").orderBy("df", "token")
+    placed = counted.withColumns({"place": F.row_number().over(order) - 1, "cost": F.sum(F.col("df") - 1).over(order.rowsBetween(W.unboundedPreceding, 0))})
+    share = F.ceil(F.col("n") * percent / F.lit(100))
+    usual = F.col("n") - share + 1
+    l_here = F.col("place") - usual + 2
+    estimate = F.when((l_here >= 1) & (l_here <= share), F.struct((F.col("cost") / l_here).alias("cost"), l_here.alias("l")))
+    best = F.min(estimate).over(W.partitionBy("node"))["l"]
+    near = placed.withColumn("l", best.cast("long"))
     return near.where((F.col("df") > 1) & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l")
 
 
@@ -240,7 +259,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         texts = texts.join(small_side(twice), "doc_id", "left_anti").unionByName(again)
     sizes = materialize(members.where("doc_id = node").groupBy("node").agg(F.max("n").alias("n")), "sizes")
 
-    first = materialize(shared_tokens(prefix_rows(texts.withColumn("extra", F.lit(0).cast("long")), words, percent)), "shared-tokens")
+    every = materialize(prefix_rows(texts.withColumn("extra", F.lit(0).cast("long")), words, percent), "prefixes")
+    first = materialize(shared_tokens(every), "shared-tokens")
+    drop_materialized(every)
     crowded = materialize(first.where(F.col("df") > HOT).groupBy("node").agg(F.count("*").alias("k")), "crowded")
 
     tried = materialize(leaders(first, sizes, percent), "leaders")
@@ -254,7 +275,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     if not crowded.isEmpty():
         named = texts.withColumnRenamed("doc_id", "node")
         longer = lambda state: named.join(small_side(state), "node").withColumnRenamed("node", "doc_id")
-        second = materialize(shared_tokens(prefix_rows(longer(crowded.select("node", (2 * F.col("k")).alias("extra"))), words, percent)), "longer-tokens")
+        every = materialize(prefix_rows(longer(crowded.select("node", (2 * F.col("k")).alias("extra"))), words, percent), "longer-prefixes")
+        second = materialize(shared_tokens(every), "longer-tokens")
+        drop_materialized(every)
         hot = second.where(F.col("df") > HOT).groupBy("node").agg(F.count("*").alias("h"))
         state = crowded.join(sizes, "node").join(hot, "node", "left").select("node", "n", (1 + F.least(2 * F.col("k"), F.floor(F.col("n") / 2))).alias("l"), F.coalesce("h", F.lit(0).cast("long")).alias("h"))
         state = materialize(state.withColumn("special", (F.col("h") >= F.col("l")) | (F.col("n") < FEW)), "settled")
