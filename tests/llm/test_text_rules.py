@@ -99,6 +99,7 @@ def test_classifiers_on_odd_rows(odd, odd_rows, labels):
     rows = quality.classify_quality(odd, labels).collect()
     assert len(rows) == len(odd_rows) and all(r.kept is not None and r["row"] == "other" for r in rows)
     assert quality.classify_quality(odd.limit(0), labels).count() == 0
+    assert toxicity.grade_toxicity(odd.limit(0), labels).count() == 0
     none = labels.limit(0)
     assert all(r.kept for r in quality.classify_quality(odd, none).collect())
     assert not any(r.is_toxic for r in toxicity.grade_toxicity(odd, none).collect())
@@ -120,3 +121,29 @@ def test_toxicity_on_held_out_labels(spark):
     hits = out.selectExpr("avg(if(toxic = 1, int(is_toxic), null))", "avg(if(toxic = 0, int(is_toxic), null))").first()
     assert hits[0] > 0.8 and hits[1] < 0.01
     assert (model.thresholds[1:] >= model.thresholds[:-1]).all()
+
+
+def test_three_ordered_grades_on_held_out_texts(spark):
+    rng = random.Random(8)
+    plain, bad = [f"word{i}" for i in range(400)], [f"vile{i}" for i in range(12)]
+    grades = [rng.choice([0, 0, 0, 1, 2]) for _ in range(3000)]
+    make = lambda g: " ".join(rng.sample(plain, 60) + rng.sample(bad, (0, 2, 6)[g]))
+    docs = spark.createDataFrame([(i, make(g)) for i, g in enumerate(grades)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, g in enumerate(grades) if i % 3], "doc_id long, toxic int")
+    vocabulary, model = toxicity.fit_severity(docs, toxicity.graded_labels(labels))
+    assert len(model.thresholds) == 2 and model.thresholds[0] < model.thresholds[1]
+    rows = [r for r in toxicity.score_severity(docs, vocabulary, model).collect() if r.doc_id % 3 == 0]
+    assert sum(r.severity == grades[r.doc_id] for r in rows) / len(rows) > 0.9
+    mean = [[r.expected_severity for r in rows if grades[r.doc_id] == g] for g in range(3)]
+    assert max(mean[0]) < 1 and sum(mean[1]) / len(mean[1]) + 0.5 < sum(mean[2]) / len(mean[2])
+
+
+def test_words_alone_tell_the_text_view_what_is_good(spark):
+    rng = random.Random(6)
+    good, bad = [f"good{i}" for i in range(60)], [f"dull{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(40)), "en", "s", 240) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(600)], "doc_id long, quality int")
+    out = [r for r in quality.classify_quality(docs, labels).collect() if r.doc_id >= 600]
+    assert sum(r.kept == bool(r.doc_id % 2) for r in out) / len(out) > 0.97
+    assert sum((r.text_score >= 0.5) == bool(r.doc_id % 2) for r in out) / len(out) > 0.97
