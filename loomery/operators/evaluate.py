@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens, word_ngrams
+from ..functions.text import char_ngrams, stem_key, tokens, word_ngrams
 
 #: Phrases of refusals and of out-of-domain answers.
 REFUSALS = ("해당 정보는 제공된 문서에 포함", "관련 정보를 찾을 수 없", "확인할 수 없", "제공된 문서에서 찾을 수 없")
@@ -88,3 +88,104 @@ def judge_rates(verdicts: DataFrame) -> DataFrame:
     rows = verdicts.where(~F.startswith("kind", F.lit("control")))
     rate = lambda v: F.round(F.count_if(F.col("verdict") == v) * 100.0 / F.count("*"), 6)
     return rows.agg(F.count("*").alias("n"), rate("PASS").alias("pass_rate"), rate("PARTIAL").alias("partial_rate"), rate("FAIL").alias("fail_rate"))
+
+
+def metric_table(scores: DataFrame) -> DataFrame:
+    """(metric, mean, least, most) of (metric, score)."""
+    return scores.groupBy("metric").agg(F.avg("score").alias("mean"), F.min("score").alias("least"), F.max("score").alias("most"))
+
+
+def comparison_summary(scores: DataFrame) -> DataFrame:
+    """(metric, base, tuned, improvement) of metrics that have rows under base_ and finetuned_; N/A over a base mean of 0."""
+    side = lambda prefix, name: scores.where(F.startswith("metric", F.lit(prefix))).groupBy(F.substring("metric", len(prefix) + 1, 1000).alias("metric")).agg(F.avg("score").alias(name))
+    both = side("base_", "base").join(side("finetuned_", "tuned"), "metric")
+    percent = F.format_string("%+.1f%%", (F.col("tuned") - F.col("base")) / F.col("base") * 100)
+    return both.withColumn("improvement", F.when(F.col("base") > 0, percent).otherwise("N/A"))
+
+
+def review_counts(rows: DataFrame, status: str) -> DataFrame:
+    """One row: approved, rejected and pending; any other status is pending."""
+    known = F.coalesce(F.col(status).isin("approved", "rejected"), F.lit(False))
+    return rows.agg(F.count_if(F.col(status) == "approved").alias("approved"), F.count_if(F.col(status) == "rejected").alias("rejected"), F.count_if(~known).alias("pending"))
+
+
+def pair_totals(rows: DataFrame, augmented: str) -> DataFrame:
+    """One row: all pairs, originals and augmented ones."""
+    return rows.agg(F.count("*").alias("pairs"), F.count_if(~F.col(augmented)).alias("originals"), F.count_if(F.col(augmented)).alias("augmented"))
+
+
+def longest_common(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
+    zero = F.transform(b, lambda _: F.lit(0))
+
+    def cell(row: Column, old: Column, x: Column) -> Column:
+        # the state is the new row so far; the last cell, the old cell above it and the old one before that decide
+        return F.aggregate(
+            F.sequence(F.lit(1), F.size(b)),
+            F.array().cast("array<int>"),
+            lambda new, j: F.concat(new, F.array(F.when(F.get(b, j - 1) == x, F.coalesce(F.get(old, j - 2), F.lit(0)) + 1).otherwise(F.greatest(F.coalesce(F.get(new, j - 2), F.lit(0)), F.get(old, j - 1))))),
+        )
+
+    last = F.aggregate(a, zero, lambda old, x: cell(old, old, x))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(last, -1)).otherwise(0)
+
+
+def rouge_l(a: Column, b: Column) -> Column:
+    """F measure of the longest common subsequence of two word arrays."""
+    common = longest_common(a, b)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
+
+
+def bleu(rows: DataFrame, key: str, candidate: str, reference: str, most: int = 4) -> DataFrame:
+    """(``key``, bleu): geometric mean of clipped 1- to ``most``-gram precisions of word arrays, with the brevity penalty; 0 if any is 0."""
+    parts = None
+    for n in range(1, most + 1):
+        grams = lambda c: rows.select(key, F.explode(word_ngrams(F.col(c), n)).alias("g")).groupBy(key, "g").agg(F.count("*").alias("c"))  # noqa: B023, E731
+        both = grams(candidate).join(grams(reference).withColumnRenamed("c", "r"), [key, "g"], "left")
+        one = both.groupBy(key).agg((F.sum(F.least("c", F.coalesce("r", F.lit(0)))) / F.sum("c")).alias("p")).withColumn("n", F.lit(n))
+        parts = one if parts is None else parts.unionByName(one)
+    mean = parts.groupBy(key).agg(F.min("p").alias("low"), F.count("*").alias("have"), (F.sum(F.ln("p")) / most).alias("log"))
+    out = rows.join(mean, key, "left")
+    short = F.least(F.lit(0.0), 1 - F.size(reference) / F.size(candidate))
+    return out.select(key, F.when((F.col("low") > 0) & (F.col("have") == most), F.exp(F.col("log") + short)).otherwise(0.0).alias("bleu"))
+
+
+def request_trace(events: DataFrame) -> DataFrame:
+    """One row for each request of (request, seq, seconds, type, content): what a reader of its event stream is left with.
+
+    Events after the first ``done`` do not count.  Answers are the tokens in
+    order, actions are cut at 200 characters; of route, verification, warning
+    and clarification the last stays.
+    """
+    ends = events.where("type = 'done'").groupBy("request").agg(F.min("seq").alias("end"))
+    rows = events.join(ends, "request", "left").where(F.col("end").isNull() | (F.col("seq") <= F.col("end")))
+    last = lambda kind: F.max_by(F.when(F.col("type") == kind, F.col("content")), F.when(F.col("type") == kind, F.col("seq"))).alias(kind)
+    listed = lambda kind, text: F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.struct("seq", text.alias("t"))))), lambda x: x["t"])
+    token = F.when(F.col("type") == "token", F.col("seconds"))
+    return rows.groupBy("request").agg(
+        F.min(token).alias("first_token"), F.max("seconds").alias("total"), F.array_join(listed("token", F.coalesce("content", F.lit(""))), "").alias("answer"),
+        *(last(k) for k in ("route", "verification", "warning", "clarification")), listed("action", F.substring("content", 1, 200)).alias("actions"), F.max_by("type", "seq").alias("last_event"),
+    )
+
+
+def match_files(asked: DataFrame, known: DataFrame, most: int = 8) -> DataFrame:
+    """(asked, stem) of file names in ``asked`` and ``known``: the same stem, else the same normalised stem, else one holding the other with at most ``most`` characters more.
+
+    The last case compares within shared trigrams of the normalised stems, not all pairs.
+    """
+    stem = lambda c: F.regexp_replace(c, r"\.[^.]*$", "")
+    left = asked.select(F.col("asked"), stem(F.col("asked")).alias("stem_a"), stem_key(F.col("asked")).alias("norm_a")).distinct()
+    right = known.select(stem(F.col("known")).alias("stem"), stem_key(F.col("known")).alias("norm")).distinct()
+    exact = left.join(right, left["stem_a"] == right["stem"]).select("asked", F.lit(0).alias("how"), "stem", "norm")
+    normal = left.join(right, left["norm_a"] == right["norm"]).select("asked", F.lit(1).alias("how"), "stem", "norm")
+    # of two names where one holds the other, the shorter one's first trigram is in the longer one
+    head = lambda c: F.substring(c, 1, 3)
+    none = F.array().cast("array<string>")
+    # a shorter name of one or two characters can only be in one of up to ``most`` + 2
+    tiny = lambda c: F.when(F.length(c) <= most + 2, F.concat(char_ngrams(F.col(c), 1), char_ngrams(F.col(c), 2))).otherwise(none)
+    grams = lambda c: F.explode(F.array_distinct(F.concat(char_ngrams(F.col(c), 3), tiny(c)))).alias("g")
+    inside = lambda small, large: (F.length(small) > 0) & F.contains(large, F.col(small)) & (F.length(large) - F.length(small) <= most)
+    within = left.withColumn("g", head("norm_a")).join(right.select("stem", "norm", grams("norm")), "g").where(inside("norm_a", "norm"))
+    around = left.select("asked", "norm_a", grams("norm_a")).join(right.withColumn("g", head("norm")), "g").where(inside("norm", "norm_a"))
+    loose = within.select("asked", F.lit(2).alias("how"), "stem", "norm").unionByName(around.select("asked", F.lit(2).alias("how"), "stem", "norm"))
+    return exact.unionByName(normal).unionByName(loose).groupBy("asked").agg(F.min(F.struct("how", "norm", "stem")).alias("best")).select("asked", F.col("best.how").alias("how"), F.col("best.stem").alias("stem"))
