@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import corpus, curation, evaluation, replies, requests, retrieval, signals, upkeep  # noqa: F401  they register their queries
+from . import corpus, curation, evaluation, replies, requests, retrieval, signals, streams, upkeep  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 
