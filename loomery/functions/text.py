@@ -39,6 +39,10 @@ ACRONYM_STOPLIST = (
 ).split()
 
 
+#: White space of any script, spelt out: quicker than asking for it as a property.
+BLANKS = r"[ \t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
+
 def strip(c: Column) -> Column:
     """Without white space of any script at both ends."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -51,7 +55,7 @@ def squash(c: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Lower-cased words between white space."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+"), lambda x: x != "")
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), BLANKS), lambda x: x != "")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import uuid5
+from .ranks import numbered
 
 #: Fixed value: the namespace of chunk ids.
 CHUNK_NAMESPACE = uuid.UUID("b7e23f8a-4c19-4d7b-9a31-0f8e6d2c5a47")
@@ -38,9 +39,4 @@ def every_nth(rows: DataFrame, n: int, order: str) -> DataFrame:
     """
     total = rows.count()
     step = max(1, total // n)
-    ranged = rows.repartitionByRange(F.col(order)).withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    before = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(W.partitionBy("part").orderBy(order)) - 1
-    placed = ranged.withColumn("place", place).join(F.broadcast(before), "part").withColumn("place", (F.col("place") + F.col("before")).cast("long"))
-    return placed.where((F.col("place") % step == 0) & (F.col("place") < step * n)).drop("part", "before")
+    return numbered(rows, F.col(order)).where((F.col("place") % step == 0) & (F.col("place") < step * n))

@@ -22,7 +22,7 @@ def validate(pairs: DataFrame, least: int = 20, most: int = 2000, patterns: tupl
     q, a = strip(F.coalesce("question", F.lit(""))), strip(F.coalesce("answer", F.lit("")))
     rows = pairs.withColumns({"q": q, "a": a}).withColumn("blank", (F.col("q") == "") | (F.col("a") == ""))
     rows = rows.withColumn("same", F.xxhash64(F.lower("q"), F.lower("a")))
-    first = F.row_number().over(W.partitionBy("blank", "same", F.lower("q"), F.lower("a")).orderBy("pos"))
+    first = F.row_number().over(W.partitionBy(F.when(F.col("blank"), F.col("pos")), "same", F.lower("q"), F.lower("a")).orderBy("pos"))
     rows = rows.withColumn("copy", (first > 1) & ~F.col("blank"))
     size = F.length("a")
     reasons = [F.when(size < least, "answer_too_short"), F.when(size > most, "answer_too_long")]

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import char_ngrams, tokens
+from .ranks import bounded
 
 #: BM25 parameters and the share of the mean idf that replaces a negative one.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -39,17 +40,20 @@ def ranked(scored: DataFrame, k: int, score: str = "score", query: str = "query_
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text: str, query_id: str, query_text: str) -> DataFrame:
     """(query_id, id, score) of every document that shares a term with a query.
 
-    Query terms count as often as they are asked.  The postings meet only the
-    terms of the queries.
+    Query terms count as often as they are asked.  Only words that a query
+    asks for become postings; the other words are counted by document
+    frequency alone, which the floor of the idf needs.
     """
-    index = postings(docs, id_col, text)
-    stats = bm25_stats(docs, id_col, text)
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
+    words = docs.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("words"))
+    stats = words.agg(F.count("*").alias("n_docs"), F.avg(F.size("words")).alias("avgdl"))
+    df = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))
     df = df.withColumn("raw", F.ln((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     floor = df.agg((F.avg("raw") * EPSILON).alias("floor"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    terms = df.crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    hits = index.join(asked.join(terms, "term"), "term")
+    wanted = asked.select("term").distinct()
+    terms = df.join(bounded(wanted), "term", "left_semi").crossJoin(F.broadcast(floor)).select("term", "avgdl", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
+    each = words.select("id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).join(bounded(wanted), "term", "left_semi")
+    hits = each.groupBy("term", "id", "dl").agg(F.count("*").alias("tf")).join(asked.join(terms, "term"), "term")
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return hits.groupBy("query_id", "id").agg(F.sum(F.col("qtf") * F.col("idf") * part).alias("score"))
 
@@ -64,11 +68,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Exact cosine top-k of a stated, bounded set of queries, which every partition of the vectors meets in place."""
-    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(dot(c, c)))
-    asked = queries.select(F.col(id_col).alias("query_id"), unit(F.col(vector)).alias("q"))
-    scored = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector)).alias("v")).crossJoin(F.broadcast(asked))
-    return ranked(scored.where("id <> query_id").select("query_id", "id", dot(F.col("v"), F.col("q")).alias("score")), k)
+    """Exact cosine top-k of a stated set of queries, which every partition of the vectors meets in place while the set is small."""
+    with_norm = lambda rows, i, v: rows.select(F.col(id_col).alias(i), F.col(vector).alias(v)).withColumn(f"{v}_norm", F.sqrt(dot(F.col(v), F.col(v))))
+    scored = with_norm(vectors, "id", "v").crossJoin(bounded(with_norm(queries, "query_id", "q")))
+    score = dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))
+    return ranked(scored.where("id <> query_id").select("query_id", "id", score.alias("score")), k)
 
 
 def tfidf_cosine(docs: DataFrame, queries: DataFrame, id_col: str, text: str, query_id: str, query_text: str, n: int = 3) -> DataFrame:
@@ -93,13 +97,17 @@ def tfidf_cosine(docs: DataFrame, queries: DataFrame, id_col: str, text: str, qu
 
 
 def rrf(*lists: DataFrame, k: int = RRF_K) -> DataFrame:
-    """(query_id, id, score, first_seen): reciprocal-rank fusion; an id twice in a list counts twice."""
+    """(query_id, id, score, first_seen, scores): reciprocal-rank fusion; an id twice in a list counts twice.
+
+    ``first_seen`` is the place (list, rank) of the first appearance and
+    ``scores`` has the id's own best score in each list, null where it is not.
+    """
     rows = None
     for at, one in enumerate(lists):
-        part = one.select("query_id", "id", "rank", F.lit(at).alias("list"))
+        part = one.select("query_id", "id", "rank", F.lit(at).alias("list"), F.col("score").alias("own"))
         rows = part if rows is None else rows.unionByName(part)
-    # order of first appearance: the earlier list, then the better rank
-    return rows.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.col("list") * 1_000_000 + F.col("rank")).alias("first_seen"))
+    own = [F.max(F.when(F.col("list") == at, F.col("own"))) for at in range(len(lists))]
+    return rows.groupBy("query_id", "id").agg(F.sum(1 / (F.lit(k) + F.col("rank"))).alias("score"), F.min(F.struct("list", "rank")).alias("first_seen"), F.array(*own).alias("scores"))
 
 
 def fused_topk(*lists: DataFrame, k: int = 5) -> DataFrame:
@@ -138,11 +146,14 @@ def best_per_source(results: DataFrame, source: str) -> DataFrame:
     return results.groupBy("query_id", source).agg(F.max("score").alias("score"), F.min("rank").alias("first_rank"))
 
 
-def hybrid_ground_truth(bm25: DataFrame, tfidf: DataFrame, owner: list[str], least: float = 0.05, k: int = 3) -> DataFrame:
+def hybrid_ground_truth(bm25: DataFrame, tfidf: DataFrame, owned: DataFrame | None = None, least: float = 0.05, k: int = 3) -> DataFrame:
     """Top chunks of each question: 0.4 BM25 over its maximum plus 0.6 cosine; at least the best one.
 
-    Both inputs are (query_id, id, score) over the same candidate pairs.
+    Both inputs are (query_id, id, score); ``owned`` (query_id, id) limits
+    the candidates to the chunks of each question's own document.
     """
+    if owned is not None:
+        tfidf, bm25 = (x.join(owned, ["query_id", "id"], "left_semi") for x in (tfidf, bm25))
     both = tfidf.select("query_id", "id", F.col("score").alias("cosine")).join(bm25.select("query_id", "id", F.col("score").alias("bm25")), ["query_id", "id"], "left")
     both = both.withColumn("bm25", F.coalesce("bm25", F.lit(0.0)))
     top = F.max("bm25").over(W.partitionBy("query_id"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 
 def with_sessions(events: DataFrame, ttl: int = 3600, key: str = "user_id", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Add ``session``, counted from 0: a gap of more than ``ttl`` seconds starts the next."""
@@ -53,7 +55,8 @@ def evicted(events: DataFrame, most: int, key: str = "user_id", ts: str = "ts")
     """(key, last_access, nth) of the keys that go when only the ``most`` latest stay."""
     last = events.groupBy(key).agg(F.max(ts).alias("last_access"))
     # one row for each key is ranked, not each event
-    return last.withColumn("nth", F.row_number().over(W.orderBy(F.desc("last_access"), key)).cast("long")).where(F.col("nth") > most)
+    ranked = numbered(last, F.desc("last_access"), F.col(key))
+    return ranked.withColumn("nth", F.col("place") + 1).where(F.col("nth") > most).drop("place")
 
 
 def token_metrics(events: DataFrame, key: str = "user_id", ts: str = "ts", token: str = "view", done: str = "purchase") -> DataFrame:

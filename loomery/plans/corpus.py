@@ -92,11 +92,11 @@ def page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""SELECT doc_id, CAST(length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^\s*[-—–]\s*\d+\s*[-—–]\s*$', '', 'g'), '(?m)^\s*\d+\s*$', '', 'g'), '(?mi)^\s*page\s+\d+\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), 'x', 'x')) AS BIGINT) AS n
-FROM (SELECT doc_id, substr(text, 1, 200) || chr(10) || '- ' || doc_id || ' -' || chr(10) || 'Page ' || doc_id || chr(10) || doc_id || chr(10) || 'end' AS t FROM documents)""")
+FROM (SELECT doc_id, text || chr(10) || '- ' || doc_id || ' -' || chr(10) || 'Page ' || doc_id || chr(10) || doc_id || chr(10) || 'end' AS t FROM documents)""")
 def page_number_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page-number lines removed, shown on texts that got some."""
     i = F.col("doc_id").cast("string")
-    t = F.concat(F.substring("text", 1, 200), F.lit("\n- "), i, F.lit(" -\nPage "), i, F.lit("\n"), i, F.lit("\nend"))
+    t = F.concat(F.col("text"), F.lit("\n- "), i, F.lit(" -\nPage "), i, F.lit("\n"), i, F.lit("\nend"))
     return table(spark, sf_dir, "documents").select("doc_id", F.length(X.drop_page_numbers(t)).cast("long").alias("n"))
 
 

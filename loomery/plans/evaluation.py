@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import difficulty
 from ..operators import evaluate as E
+from ..operators.ranks import bounded
 from .curation import PAIRS, pairs
 from .registry import query, table
 from .retrieval import BM25, VEC, texts, vectors
@@ -20,12 +21,12 @@ SELECT count(*) AS n_queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 EN
 
 
 @query(f"""WITH {VEC}, results AS (SELECT query_id, rank, id FROM vr WHERE rank <= 10),
-truth AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id < 50), {METRICS}""")
+truth AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), {METRICS}""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label are relevant."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = rows.where("vec_id < 50").select(F.col("vec_id").alias("query_id"), "label")
-    truth = rows.select(F.col("vec_id").alias("id"), "label").join(F.broadcast(asked), "label").where("id <> query_id").select("query_id", "id")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    truth = rows.select(F.col("vec_id").alias("id"), "label").join(bounded(asked), "label").where("id <> query_id").select("query_id", "id")
     return E.retrieval_metrics(vectors(spark, sf_dir, 10), truth, 10)
 
 
@@ -36,8 +37,7 @@ def doc_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of documents that hold an item's text are relevant."""
     docs = table(spark, sf_dir, "documents")
     found = texts(spark, sf_dir, 10).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc")), "id")
-    # the items are a stated, bounded set
-    items = F.broadcast(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
+    items = bounded(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
     truth = docs.join(items, F.contains("text", F.col("item"))).select(F.col("item_id").alias("query_id"), F.col("source").alias("id"))
     return E.document_metrics(found, truth, 5)
 

@@ -45,11 +45,11 @@ def refusal_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.refusal_gates(found, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id")), 12.0, 0.1)
 
 
-@query("""WITH a AS (SELECT doc_id AS answer_id, source, doc_id % 10 AS m FROM documents WHERE doc_id < 500)
+@query("""WITH a AS (SELECT doc_id AS answer_id, source, doc_id % 10 AS m FROM documents)
 SELECT answer_id, CAST(0 AS BIGINT) AS place, 'made-up ' || answer_id || '.pdf' AS cited FROM a WHERE m IN (0, 3) UNION ALL SELECT answer_id, 2, 'x' FROM a""")
 def citation_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations without a source, in answers made up from the documents."""
-    docs = table(spark, sf_dir, "documents").where("doc_id < 500").select(F.col("doc_id").alias("answer_id"), "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), "source")
     name = F.when((F.col("answer_id") % 10).isin(0, 3), F.concat(F.lit("made-up "), F.col("answer_id").cast("string"), F.lit(".pdf"))).otherwise(F.concat("source", F.lit("-file.pdf")))
     answers = docs.select("answer_id", F.concat(F.lit("See [doc:"), name, F.lit("] and [doc:"), "source", F.lit("-file::p5] but not [doc:x].")).alias("answer"))
     return R.audit_citations(answers, docs.select("answer_id", F.concat(F.upper("source"), F.lit("-file.pdf#chunk_3")).alias("source")))
@@ -68,7 +68,7 @@ def skill_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH l AS (SELECT 0 AS source, doc_id AS place, upper(source) AS keyword FROM documents UNION ALL SELECT 1, doc_id, lang FROM documents UNION ALL SELECT 2, doc_id, source FROM documents),
 f AS (SELECT keyword, source, place, row_number() OVER (PARTITION BY lower(keyword) ORDER BY source, place) AS nth FROM l)
-SELECT keyword, row_number() OVER (ORDER BY source, place, lower(keyword)) AS place FROM f WHERE nth = 1""")
+SELECT keyword, row_number() OVER (ORDER BY source, place, lower(keyword)) AS place FROM f WHERE nth = 1 ORDER BY place LIMIT 60""")
 def keyword_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     part = lambda i, c: docs.select(F.lit(i).alias("source"), F.col("doc_id").alias("place"), c.alias("keyword"))

@@ -1,7 +1,7 @@
 """Queries of search and what follows it.
 
 The text queries are the items of ``benchmark``; the vector queries are the
-embeddings whose id is under 50.  In hybrid queries item i goes with vector i
+embeddings whose id is divisible by 100.  In hybrid queries item i goes with vector i
 and document d with vector d.
 """
 
@@ -23,7 +23,7 @@ bm AS (SELECT item_id AS query_id, doc_id AS id, sum(qtf * idf * tf * 2.5 / (tf
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM bm WHERE score > 0)"""
 VEC = """vec AS (SELECT q.vec_id AS query_id, v.vec_id AS id,
   list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) / sqrt(list_inner_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) AS score
-  FROM embeddings q, embeddings v WHERE q.vec_id < 50 AND q.vec_id <> v.vec_id),
+  FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM vec)"""
 FUSED = f"""{BM25}, {VEC},
 lists AS (SELECT query_id, id, rank, 0 AS list FROM vr WHERE rank <= 15 UNION ALL SELECT query_id, id, rank, 1 FROM bmr WHERE rank <= 10),
@@ -33,7 +33,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 
 def vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return S.vector_topk(rows, rows.where("vec_id < 50"), k)
+    return S.vector_topk(rows, rows.where("vec_id % 100 = 0"), k)
 
 
 def texts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -62,17 +62,15 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FUSED} SELECT query_id, id, round(score, 6) AS score, first_seen FROM rrf")
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.rrf(vectors(spark, sf_dir, 15), texts(spark, sf_dir, 10)).select("query_id", "id", F.round("score", 6).alias("score"), F.col("first_seen").cast("long").alias("first_seen"))
+    return S.rrf(vectors(spark, sf_dir, 15), texts(spark, sf_dir, 10)).select("query_id", "id", F.round("score", 6).alias("score"), (F.col("first_seen.list") * 1_000_000 + F.col("first_seen.rank")).cast("long").alias("first_seen"))
 
 
 @query(f"""WITH {FUSED} SELECT top.query_id, top.rank, top.id, round(top.score, 6) AS score, round(v.score, 6) AS vector_score, round(b.score, 6) AS bm25_score
 FROM top LEFT JOIN vr v ON v.query_id = top.query_id AND v.id = top.id AND v.rank <= 15 LEFT JOIN bmr b ON b.query_id = top.query_id AND b.id = top.id AND b.rank <= 10 WHERE top.rank <= 5""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five fused results of each query with the scores of either list."""
-    v, b = vectors(spark, sf_dir, 15), texts(spark, sf_dir, 10)
-    top = S.fused_topk(v, b, k=5).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
-    top = top.join(v.select("query_id", "id", F.round("score", 6).alias("vector_score")), ["query_id", "id"], "left")
-    return top.join(b.select("query_id", "id", F.round("score", 6).alias("bm25_score")), ["query_id", "id"], "left")
+    own = lambda at: F.round(F.col("scores")[at], 6)
+    return fused(spark, sf_dir).select("query_id", "rank", "id", F.round("score", 6).alias("score"), own(0).alias("vector_score"), own(1).alias("bm25_score"))
 
 
 @query(f"""WITH {VEC}, t AS (SELECT *, count(*) FILTER (score >= 0.45) OVER (PARTITION BY query_id) AS passing FROM vr WHERE rank <= 5)
@@ -88,14 +86,14 @@ def lost_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {BM25}, t AS (SELECT *, rank - 1 AS i, count(*) OVER (PARTITION BY query_id) AS n FROM bmr WHERE rank <= 5),
-p AS (SELECT t.*, CASE WHEN n < 3 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - (i - 1) // 2 END AS place, substr(d.text, 1, 400) AS body, d.source FROM t JOIN documents d ON d.doc_id = t.id),
+p AS (SELECT t.*, CASE WHEN n < 3 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - (i - 1) // 2 END AS place, d.text AS body, d.source FROM t JOIN documents d ON d.doc_id = t.id),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id, substr(body, 1, 100) ORDER BY place, id) AS seen FROM p),
 g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, id) AS no FROM f WHERE seen = 1)
 SELECT query_id, count(*) AS n_sources, string_agg('[doc ' || no || ' | doc:' || source || ']' || chr(10) || body, chr(10) || chr(10) ORDER BY no) AS context FROM g GROUP BY query_id""")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model would read for each item."""
     top = S.lost_in_middle(texts(spark, sf_dir, 5))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 400).alias("body"), "source")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"), "source")
     return S.pack_context(top.join(docs, "id"), "body", "source")
 
 
@@ -117,7 +115,7 @@ def source_dedup_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.best_per_source(texts(spark, sf_dir, 10).join(docs, "id"), "source").withColumn("score", F.round("score", 6))
 
 
-TFIDF = """src AS (SELECT item_id AS id, lower(substr(text, 1, 120)) AS t FROM benchmark), qs AS (SELECT conv_id AS query_id, lower(substr(text, 1, 120)) AS t FROM conversations WHERE turn = 1 AND text IS NOT NULL AND conv_id < 30),
+TFIDF = """src AS (SELECT item_id AS id, lower(text) AS t FROM benchmark), qs AS (SELECT conv_id AS query_id, lower(text) AS t FROM conversations WHERE turn = 1 AND text IS NOT NULL),
 dg AS (SELECT id, g, count(*) AS c FROM (SELECT id, substr(t, i, 3) AS g FROM src, unnest(range(1, length(t) - 1)) AS u(i)) GROUP BY ALL),
 qg AS (SELECT query_id, g, count(*) AS c FROM (SELECT query_id, substr(t, i, 3) AS g FROM qs, unnest(range(1, length(t) - 1)) AS u(i)) GROUP BY ALL),
 n AS (SELECT count(*) + 1 AS n FROM src), df AS (SELECT g, count(*) AS df FROM dg GROUP BY g),
@@ -130,11 +128,14 @@ cs AS (SELECT qw.query_id, w.id, sum(qw.tf * qw.idf * w.w) AS top FROM qw JOIN w
 cosine AS (SELECT query_id, id, CASE WHEN dn * qn > 1e-12 THEN top / (dn * qn) ELSE 0.0 END AS score FROM cs JOIN nd USING (query_id, id) JOIN nq USING (query_id))"""
 
 
+def openings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The items and the opening turns of the conversations, whole texts."""
+    asked = table(spark, sf_dir, "conversations").where("turn = 1 and text is not null").select("conv_id", "text")
+    return table(spark, sf_dir, "benchmark").select("item_id", "text"), asked
+
+
 def tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.substring("text", 1, 120).alias("t")
-    docs = table(spark, sf_dir, "benchmark").select("item_id", head)
-    asked = table(spark, sf_dir, "conversations").where("turn = 1 and text is not null and conv_id < 30").select("conv_id", head)
-    return S.tfidf_cosine(docs, asked, "item_id", "t", "conv_id", "t")
+    return S.tfidf_cosine(*openings(spark, sf_dir), "item_id", "text", "conv_id", "text")
 
 
 @query(f"WITH {TFIDF} SELECT query_id, id, round(score, 6) AS score FROM cosine")
@@ -143,14 +144,21 @@ def tfidf_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf(spark, sf_dir).withColumn("score", F.round("score", 6))
 
 
-@query(f"""WITH {TFIDF}, b AS (SELECT query_id, id, score AS s, row_number() OVER (PARTITION BY query_id ORDER BY id) % 7 AS bm FROM cosine),
+@query(rf"""WITH {TFIDF}, tok AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws FROM benchmark),
+stats AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avgdl FROM tok),
+post AS (SELECT term, item_id, dl, count(*) AS tf FROM (SELECT item_id, len(ws) AS dl, unnest(ws) AS term FROM tok) GROUP BY ALL),
+raw AS (SELECT term, ln((n_docs - count(*) + 0.5) / (count(*) + 0.5)) AS raw FROM post, stats GROUP BY term, n_docs),
+idf AS (SELECT term, CASE WHEN raw < 0 THEN (SELECT 0.25 * avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+ask AS (SELECT conv_id, term, count(*) AS qtf FROM (SELECT conv_id, unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS term FROM conversations WHERE turn = 1 AND text IS NOT NULL) GROUP BY ALL),
+bm AS (SELECT conv_id AS query_id, item_id AS id, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS bm FROM ask JOIN idf USING (term) JOIN post USING (term), stats GROUP BY ALL),
+b AS (SELECT query_id, id, score AS s, coalesce(bm, 0.0) AS bm FROM cosine LEFT JOIN bm USING (query_id, id) WHERE query_id % 4 = id % 4),
 h AS (SELECT query_id, id, 0.4 * CASE WHEN max(bm) OVER (PARTITION BY query_id) > 0 THEN bm / max(bm) OVER (PARTITION BY query_id) ELSE bm END + 0.6 * s AS score FROM b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM h)
 SELECT query_id, rank, id, round(score, 6) AS score FROM r WHERE rank <= 3 AND (score > 0.05 OR rank = 1)""")
 def hybrid_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ground truth from a mixture of two scores; the first of them is made up from the ids here."""
-    from pyspark.sql import Window as W
-
-    cosine = tfidf(spark, sf_dir)
-    made = cosine.select("query_id", "id", (F.row_number().over(W.partitionBy("query_id").orderBy("id")) % 7).cast("double").alias("score"))
-    return S.hybrid_ground_truth(made, cosine, ["query_id"]).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+    """Ground truth of opening turns among the items of their own group, by BM25 and cosine."""
+    items, asked = openings(spark, sf_dir)
+    bm25 = S.bm25_scores(items, asked, "item_id", "text", "conv_id", "text")
+    group = lambda rows, c, name: rows.select(F.col(c).alias(name), (F.col(c) % 4).alias("g"))
+    owned = group(asked, "conv_id", "query_id").join(group(items, "item_id", "id"), "g").select("query_id", "id")
+    return S.hybrid_ground_truth(bm25, tfidf(spark, sf_dir), owned).select("query_id", "rank", "id", F.round("score", 6).alias("score"))

@@ -10,6 +10,7 @@ from ..functions import replies as R
 from ..functions import signals as S
 from ..functions.text import tokens
 from ..operators import evaluate as E
+from ..operators import routing
 from .curation import PAIRS, pairs
 from .registry import query, table
 from .replies import reply_query
@@ -22,6 +23,29 @@ reply_query(
     {"found": "BOOLEAN"},
     lambda c: S.has_keyword(c, words("SLA", "통신", "4x4-MIMO", "C++", "x")),
 )
+reply_query(
+    "route_cases",
+    [
+        *((f"{{v}} {k} {{v}}", ("agent", 0.8, k)) for k in routing.COMPLEX_KEYWORDS if k not in ("versus", "다른점", "장점과 단점")),
+        ("A VERSUS B", ("agent", 0.8, "versus")),
+        ("다른점은", ("agent", 0.8, "다른점")),
+        ("장점과 단점", ("agent", 0.8, "장점과 단점")),
+        *((t, ("chitchat", 0.0, None)) for t in ("안녕하세요!", "  hello everyone ~", "네", "こんにちは。", "谢谢", "xin chào", "what's up??", "How are you", "니 이름은 뭐야?", "thx")),
+        ("{v}? {v}?", ("agent", 0.7, None)),
+        ("{v}？ {v}?", ("agent", 0.7, None)),
+        ("사과 와 바나나를 {v}", ("agent", 0.75, None)),
+        ("hello {v}", ("simple", 0.1, None)),
+        ("{v}?", ("simple", 0.1, None)),
+    ],
+    {"mode": "VARCHAR", "complexity": "DOUBLE", "matched_keyword": "VARCHAR"},
+    routing.route,
+)
+reply_query(
+    "route_override",
+    [("0.9,0.6,f", (True,)), ("0.9,0.5,t", (True,)), ("0.9,0.5,f", (False,)), ("0.97,0.6,f", (False,)), ("0.97,0.65,f", (True,)), ("0.97,0.6,t", (True,)), ("0.97,0.5,t", (False,))],
+    {"overridden": "BOOLEAN"},
+    lambda c: routing.corpus_override(F.split_part(c, F.lit(","), F.lit(1)).cast("double"), F.split_part(c, F.lit(","), F.lit(2)).cast("double"), F.split_part(c, F.lit(","), F.lit(3)) == "t"),
+)
 reply_query(
     "in_domain_gate",
     [("말해줘 {v} RFP", (0.5, ["RFP"])), ("세 가지 항목을 요약해줘", (0.5, [])), ("세 가지 API 항목을 요약해줘", (0.9, [])), ("weather {v}", (0.9, [])), ("rfp 통신 nms bis", (0.5, ["RFP", "통신", "NMS"]))],
