@@ -2,6 +2,15 @@
 
 Every stage but the last returns the columns of ``documents``; each is
 written as Parquet and read again before the next.
+
+Null and empty texts are documents like others: the classifier scores them,
+they have no lines to lose and no near copies, count no tokens and become
+sequences of a single end mark.  A row without a doc_id is scored, cut, mixed
+and packed by itself and is never dropped as a near copy; repeated rows of
+one doc_id are scored and cut each, and go together or stay together as near
+copies.  Rows of a source that has no words at all have no weight in the mix
+and are left out there.  Extra columns travel along up to the packing, and
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +61,7 @@ STAGES = [
     ("best-fit packing", packing_stage),
 ]
 
-#: Fitted models and tokenizers have no SQL form; the tests hold run() against a plain version.
+#: Fitted models and tokenizers have no SQL form; the tests hold each stage against a plain version on its own input.
 ORACLE_SQL = None
 
 
