@@ -1,11 +1,13 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
-from loomery.llm import jaccard, substrings
+from loomery.llm import jaccard, quality, substrings
 from loomery.llm.components import connected_components
 from loomery.llm.kernels import shingle_sets
 
@@ -157,17 +159,81 @@ def test_repeats_of_odd_rows(odd, odd_rows):
     assert substrings.remove_repeats(odd.limit(0)).count() == 0
 
 
-def test_pipeline_stages(spark, odd, tmp_path):
+def test_pipeline_stages_match_plain_versions(spark, odd, odd_rows, tmp_path):
     sf = str(tmp_path)
     odd.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, int(i not in (23, 24)), 0) for i in range(28)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stages, docs = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{sf}/documents.parquet")
+    inputs = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        inputs[name] = [(r.doc_id, r.text, r.source) for r in docs.collect()]
         out = stage(spark, docs, sf)
         assert out.columns == odd.columns, name
         out.write.parquet(f"{sf}/{name}")
         docs = spark.read.schema(odd.schema).parquet(f"{sf}/{name}")
-        assert docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in docs.collect()}
-    assert corpus_pipeline.run(spark, sf).count() == packed.count()
+    names = list(stages)
+    inputs[names[-1]] = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+
+    # the classifier: rows go or stay as they are
+    scored = quality.classify_quality(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert Counter(inputs["line dedup"]) == Counter((r.doc_id, r.text, r.source) for r in scored.where("kept").collect())
+    # lines of ten documents go
+    blanks = " \t\n\x0b\x0c\r"
+    key = lambda x: lower(x.strip(blanks))
+    seen = Counter(k for _, t, _ in inputs["line dedup"] for k in {key(x) for x in (t or "").split("\n")})
+    cut = lambda t: t if t is None else "\n".join(x for x in t.split("\n") if not key(x) or seen[key(x)] < 10)
+    assert Counter(inputs["n-gram Jaccard join"]) == Counter((d, cut(t), s) for d, t, s in inputs["line dedup"])
+    # the least of each component stays
+    rows = inputs["n-gram Jaccard join"]
+    least = {d: c for d, _, c in brute_components([r[:2] for r in rows]) if d is not None}
+    assert Counter(inputs["source mixing"]) == Counter(r for r in rows if r[0] is None or least[r[0]] == r[0])
+    # every document with a source of some words is in the mix, as often as its quota has epochs, or once more
+    words = lambda t: len(WORD.findall(t or ""))
+    tokens, times = Counter(), Counter(inputs["best-fit packing"])
+    for _, t, s in inputs["source mixing"]:
+        tokens[s] += words(t)
+    assert set(times) == {r for r in inputs["source mixing"] if tokens[r[2]]}
+    once = Counter(inputs["source mixing"])
+    for s in tokens:
+        epochs = [times[r] / once[r] for r in times if r[2] == s]
+        assert not epochs or max(epochs) - min(epochs) <= 1
+    # packing: whole texts, in pieces, within capacity
+    from loomery.llm.queries import byte_bpe
+    from tokenizers import Tokenizer
+
+    tokenizer, want = Tokenizer.from_file(byte_bpe()), Counter()
+    for d, t, _ in inputs["best-fit packing"]:
+        ids = np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [0], dtype="<u4")
+        first = len(ids) if len(ids) <= 2048 else len(ids) % 2048 or 2048
+        edges = [0, *range(first, len(ids) + 1, 2048)]
+        want.update((d, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    packed = stages["best-fit packing"](spark, docs, sf).collect()
+    assert Counter(tuple(r)[:5] for r in packed) == want
+    held = Counter()
+    for r in packed:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 2048
+    assert corpus_pipeline.run(spark, sf).count() == len(packed)
+
+
+def test_shared_passages_do_not_multiply_candidates(spark, monkeypatch):
+    """Texts put together from a pool of passages: rows are exact, and twice the texts take under three times the candidates."""
+    made = {}
+    write = jaccard.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "candidates":
+            made["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rng = random.Random(12)
+    pool = [[f"p{i}w{rng.randrange(10**6)}" for _ in range(25)] for i in range(60)]
+    texts = [[w for i in rng.sample(range(60), 8) for w in pool[i]] + [f"own{k}"] for k in range(360)]
+    rows, n = [(i, " ".join(t)) for i, t in enumerate(texts)], []
+    for part in (rows[:180], rows):
+        found = jaccard.jaccard_components(spark.createDataFrame(part, "doc_id long, text string")).collect()
+        assert sorted(map(tuple, found)) == sorted(brute_components(part))
+        n.append(made["n"])
+    assert n[1] <= 3 * n[0] + 50, n
