@@ -43,6 +43,9 @@ from .shared import drop_materialized, materialize, small_side
 #: Documents above which a shingle is hot, and shingles under which a crowded set is taken whole.
 HOT, FEW = 24, 16
 
+#: Meetings of a token that the verification of one candidate is worth.
+VERIFY = 8
+
 #: A token that MEGA_SEEN or more of one in MEGA_SAMPLE nodes hold is not counted by a window.
 MEGA_SAMPLE, MEGA_SEEN = 64, 256
 
@@ -167,12 +170,13 @@ def leaders(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """(token, node, place, l): prefixes of whole ``sets`` (token, node, n), rare tokens first.
 
-    A candidate shares l tokens of an l-prefix, so there are at most
-    sum(df - 1) / l of them over the prefix.  Each set takes the l with the
-    least of these estimates (the smaller l of equal ones); a set whose
-    tokens are rare keeps l = 1, and the hotter its tokens, the longer its
-    prefix and the more of it a partner must share.  Tokens of one set only
-    keep their place but make no row.
+    The tokens of an l-prefix meet sum(df - 1) others, and a candidate shares
+    l of them, so there are at most sum(df - 1) / l candidates, each worth
+    VERIFY such meetings.  Each set takes the l with the least cost of both
+    (the smaller l of equal ones): a set whose tokens are rare keeps l = 1,
+    and the more hot tokens its usual prefix holds, the longer it gets and
+    the more of it a partner must share.  Tokens of one set only keep their
+    place but make no row.
     """
     counted = sets.join(sets.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = W.partitionBy("node").orderBy("df", "token")
@@ -180,7 +184,7 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     share = F.ceil(F.col("n") * percent / F.lit(100))
     usual = F.col("n") - share + 1
     l_here = F.col("place") - usual + 2
-    estimate = F.when((l_here >= 1) & (l_here <= share), F.struct((F.col("cost") / l_here).alias("cost"), l_here.alias("l")))
+    estimate = F.when((l_here >= 1) & (l_here <= share), F.struct((F.col("cost") * (1 + VERIFY / l_here)).alias("cost"), l_here.alias("l")))
     best = F.min(estimate).over(W.partitionBy("node"))["l"]
     near = placed.withColumn("l", best.cast("long"))
     return near.where((F.col("df") > 1) & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l")
