@@ -45,6 +45,8 @@ HOT, FEW = 24, 16
 
 #: Meetings of a token that the verification of one candidate is worth.
 VERIFY = 8
+#: Largest l - 1 of a set whose tokens are ordered by their documents.
+MORE = 4
 
 #: A token that MEGA_SEEN or more of one in MEGA_SAMPLE nodes hold is not counted by a window.
 MEGA_SAMPLE, MEGA_SEEN = 64, 256
@@ -175,8 +177,9 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     VERIFY such meetings.  Each set takes the l with the least cost of both
     (the smaller l of equal ones): a set whose tokens are rare keeps l = 1,
     and the more hot tokens its usual prefix holds, the longer it gets and
-    the more of it a partner must share.  Tokens of one set only keep their
-    place but make no row.
+    the more of it a partner must share; past 1 + MORE the tokens added are
+    the hottest of the set.  Tokens of one set only keep their place but make
+    no row.
     """
     counted = sets.join(sets.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = W.partitionBy("node").orderBy("df", "token")
@@ -184,7 +187,7 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     share = F.ceil(F.col("n") * percent / F.lit(100))
     usual = F.col("n") - share + 1
     l_here = F.col("place") - usual + 2
-    estimate = F.when((l_here >= 1) & (l_here <= share), F.struct((F.col("cost") * (1 + VERIFY / l_here)).alias("cost"), l_here.alias("l")))
+    estimate = F.when((l_here >= 1) & (l_here <= F.least(share, F.lit(1 + MORE))), F.struct((F.col("cost") * (1 + VERIFY / l_here)).alias("cost"), l_here.alias("l")))
     best = F.min(estimate).over(W.partitionBy("node"))["l"]
     near = placed.withColumn("l", best.cast("long"))
     return near.where((F.col("df") > 1) & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l")
