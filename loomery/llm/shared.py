@@ -17,6 +17,10 @@ from pyspark.sql import types as T
 #: Largest table, in bytes of its rows in memory, that a join may broadcast; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Rows of one Arrow batch while a table is written: batches of long texts are copied several times outside the heap.
+ARROW_ROWS = 1000
+_ARROW_ROWS_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Bytes of the rows of each table made by :func:`materialize`, by the name of its folder.
 _row_bytes: dict[str, int] = {}
 
@@ -55,7 +59,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     seen = Observation()
     width = sum((_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(24))
-    df.observe(seen, F.sum(width.cast("long")).alias("bytes")).write.parquet(path)
+    usual = spark.conf.get(_ARROW_ROWS_KEY)
+    spark.conf.set(_ARROW_ROWS_KEY, str(min(int(usual), ARROW_ROWS) if int(usual) > 0 else ARROW_ROWS))
+    try:
+        df.observe(seen, F.sum(width.cast("long")).alias("bytes")).write.parquet(path)
+    finally:
+        spark.conf.set(_ARROW_ROWS_KEY, usual)
     _row_bytes[path.rsplit("/", 1)[1]] = seen.get["bytes"] or 0
     return spark.read.schema(df.schema).parquet(path)
 
