@@ -48,9 +48,6 @@ VERIFY = 8
 #: Largest l - 1 of a set whose tokens are ordered by their documents.
 MORE = 4
 
-#: A token that MEGA_SEEN or more of one in MEGA_SAMPLE nodes hold is not counted by a window.
-MEGA_SAMPLE, MEGA_SEEN = 64, 256
-
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """Of n shingles, how many to take so that similar sets share one."""
@@ -108,19 +105,12 @@ def prefix_rows(docs: DataFrame, words: int, percent: int, whole: bool = False)
 def shared_tokens(rows: DataFrame) -> DataFrame:
     """``rows``, a table that is read twice, of tokens of two nodes or more, with their number and the least and largest node.
 
-    A token of few nodes is counted by a window.  One that a sample of the
-    nodes finds often may be in a third of all documents and would be one
-    task's work there: such tokens are counted by partial aggregation and
-    joined back.  Which way a token takes does not change its rows.
+    Tokens are counted by partial aggregation, so one that a third of all
+    documents hold sends one row from each task, and are then joined back;
+    its rows are those of a skewed join, which Spark splits.
     """
-    stats = {"df": F.count("*"), "lo": F.min("node"), "hi": F.max("node")}
-    sampled = rows.where(F.pmod(F.xxhash64("node"), F.lit(MEGA_SAMPLE)) == 0).groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") >= MEGA_SEEN)
-    mega = small_side(materialize(sampled.select("token"), "mega-tokens"))
-    own = W.partitionBy("token")
-    usual = rows.join(mega, "token", "left_anti").withColumns({name: c.over(own) for name, c in stats.items()})
-    many = rows.join(mega, "token", "left_semi")
-    counted = small_side(materialize(many.groupBy("token").agg(*(c.alias(name) for name, c in stats.items())), "mega-counts"))
-    return usual.unionByName(many.join(counted, "token").select(*usual.columns)).where("lo < hi")
+    counted = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
+    return rows.join(counted, "token")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
