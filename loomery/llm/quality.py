@@ -24,6 +24,8 @@ SLOTS, WORD_SLOTS = 64, 256
 #: Columns of the text view: its words and 15 measures of its making.
 TEXT_WIDTH = WORD_SLOTS + 15
 TEXT_COLUMNS = ("source", "lang")
+#: Rows that a Newton step standardises at once, so that a fit holds its sample once.
+FIT_ROWS = 1024
 
 
 def text_view(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -108,16 +110,20 @@ class Logistic:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 25) -> Logistic:
-        mean, scale = x.mean(axis=0), x.std(axis=0)
+        parts = [slice(a, a + FIT_ROWS) for a in range(0, len(x), FIT_ROWS)]
+        mean = x.mean(axis=0, dtype=np.float64)
+        scale = np.sqrt(sum(((x[p] - mean) ** 2).sum(axis=0) for p in parts) / len(x))
         scale[scale < 1e-9] = 1.0
-        z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
-        w = np.zeros(z.shape[1])
-        ridge = np.full(z.shape[1], l2)
+        w = np.zeros(x.shape[1] + 1)
+        ridge = np.full(len(w), l2)
         ridge[-1] = 1e-3
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + ridge * w
-            hess = (z * (p * (1 - p) + 1e-6)[:, None]).T @ z + np.diag(ridge)
+            grad, hess = ridge * w, np.diag(ridge)
+            for part in parts:
+                z = np.column_stack([(x[part] - mean) / scale, np.ones(len(x[part]))])
+                p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+                grad += z.T @ (p - y[part])
+                hess += (z * (p * (1 - p) + 1e-6)[:, None]).T @ z
             move = np.linalg.solve(hess, grad)
             w = w - move * min(1.0, 5.0 / max(np.abs(move).max(), 1e-9))
             if np.abs(move).max() < 1e-6:
@@ -125,7 +131,8 @@ class Logistic:
         return cls(mean, scale, w)
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale @ self.w[:-1] + self.w[-1], -30, 30)
+        w = self.w[:-1] / self.scale
+        return np.clip(x @ w + (self.w[-1] - self.mean @ w), -30, 30)
 
 
 class CoTrained:
@@ -187,11 +194,11 @@ def view_rows(docs: DataFrame, label: str) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = _both_views(batch)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (text, meta)]
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(np.float32))) for m in (text, meta)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(label), *lists], names=["doc_id", label, "a", "b"])
 
     kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", label)}
-    return docs.select(*view_columns(docs), label).mapInArrow(run, f"doc_id {kinds['doc_id']}, {label} {kinds[label]}, a array<double>, b array<double>")
+    return docs.select(*view_columns(docs), label).mapInArrow(run, f"doc_id {kinds['doc_id']}, {label} {kinds[label]}, a array<float>, b array<float>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 8000, rounds: int = 4) -> CoTrained | None:
@@ -203,12 +210,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, ma
     pool = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("quality", F.lit(-1))
     # both samples are bounded, two numbers a row
     sample = docs.select(*view_columns(docs)).join(F.broadcast(chosen.unionByName(pool)), "doc_id")
-    rows = view_rows(sample, "quality").toPandas().sort_values("doc_id", kind="stable").sample(frac=1.0, random_state=0)
+    rows = view_rows(sample, "quality").toArrow().combine_chunks()
     if not len(rows):
         return None
-    y = rows["quality"].to_numpy()
-    views = [np.vstack(rows[c].to_list()) for c in ("a", "b")]
-    return CoTrained.fit([v[y >= 0] for v in views], y[y >= 0], [v[y < 0] for v in views], rounds)
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    order = order[np.random.default_rng(0).permutation(len(order))]
+    y = rows["quality"].to_numpy()[order]
+    views = [rows[c].combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("a", "b")]
+    return CoTrained.fit([v[order[y >= 0]] for v in views], y[y >= 0], [v[order[y < 0]] for v in views], rounds)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 8000, max_pool: int = 8000, rounds: int = 4) -> DataFrame:
