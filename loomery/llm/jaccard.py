@@ -206,11 +206,12 @@ def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, perce
     other; part 1 for settled crowded nodes; part 2 for mostly hot nodes with
     rare tokens first.
     """
-    rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # the rows are read three times: written once, they are not put together anew for each
+    rows = materialize(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "node"), "candidate-rows")
     key = ["part", "token"]
     counts = rows.groupBy(*key, "label").agg(F.count("*").alias("c"))
     mixed = counts.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1").select(*key, F.col("most.label").alias("major"))
-    rows = rows.join(mixed, key).join(sizes, "node")
+    rows = rows.join(small_side(materialize(mixed, "mixed-tokens")), key)
     # of each token's nodes, those outside its largest component meet all others
     names = ("node", "label", "small", "special", "l", "h", "place", "n")
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in names]
@@ -284,7 +285,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         sets = materialize(prefix_rows(longer(whole), words, percent, whole=True).join(small_side(whole), "node").select("token", "node", F.col("extra").alias("n")), "whole-sets")
         rare = rare_first(sets, percent).withColumns({"part": F.lit(2), "small": F.lit(True), "special": F.lit(True), "h": no, "place": F.col("place").cast("long")})
         rows = rows.unionByName(rare.select(*shape))
-    found = cross_candidates(rows, labels, sizes, percent)
+    found = materialize(cross_candidates(rows, labels, sizes, percent), "cross-candidates")
     if not crowded.isEmpty():
         # of the settled prefixes also what no other prefix holds: a whole set may have it past its own prefix
         wanted = materialize(sets.select("token").distinct(), "whole-tokens")
