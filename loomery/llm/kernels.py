@@ -10,12 +10,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that one slice holds, unless a single text is longer.
 SLICE_BYTES = 1 << 20
 
+#: Longest span hashed by powers of a base modulo 2**64; from 1,024 bytes on there are texts that collide for every base.
+LONG_SPAN = 512
+
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
+#: Odd bases of independent hash families.
+BASES = (_BASE, 0xD6E8FEB86659FD93)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -38,15 +43,34 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """S with S[e] - S[s], times the inverse power of s, the hash of buf[s:e]."""
-    out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(buf)), out=out[1:])
+def prefix_hash(items: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """S with S[e] - S[s], times the inverse power of s, the hash of items[s:e]."""
+    out = np.zeros(len(items) + 1, dtype=np.uint64)
+    np.cumsum((items.astype(np.uint64) + np.uint64(1)) * powers(base, len(items)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (prefix[end] - prefix[start]) * powers(_BASE_INV, len(prefix))[start]
+def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _BASE) -> np.ndarray:
+    """Hashes of spans of at most ``LONG_SPAN`` items."""
+    return (prefix[end] - prefix[start]) * powers(pow(base, -1, 1 << 64), len(prefix))[start]
+
+
+def span_keys(buf: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of any length, in order and apart from each other; families are independent."""
+    out = np.empty(len(start), dtype=np.uint64)
+    size = end - start
+    data = memoryview(buf)
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]], family)
+    short = np.flatnonzero(size <= LONG_SPAN)
+    s, e = start[short], end[short]
+    at = 0
+    while at < len(short):
+        upto = int(np.searchsorted(e, s[at] + SLICE_BYTES, side="right"))
+        prefix = prefix_hash(buf[s[at] : e[upto - 1]], BASES[family])
+        out[short[at:upto]] = mix64(span_hash(prefix, s[at:upto] - s[at], e[at:upto] - s[at], BASES[family]))
+        at = upto
+    return out
 
 
 def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -74,9 +98,14 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
     return buf + ((buf >= 65) & (buf <= 90)).astype(np.uint8) * np.uint8(32)
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every maximal run of bytes outside [\\x20\\x09-\\x0D]; runs end with their row."""
-    inside = ~((buf == 32) | ((buf >= 9) & (buf <= 13)))
+#: Bytes of words, and of terms: 0-9, A-Z, a-z and every byte of other characters than those of ASCII.
+WORD_BYTES = ~np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+TERM_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def word_spans(buf: np.ndarray, offsets: np.ndarray, kind: np.ndarray = WORD_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every maximal run of bytes of a kind; runs end with their row."""
+    inside = kind[buf]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
@@ -93,7 +122,7 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tup
     """(64-bit hash, row) of every word in order."""
     text = lower_ascii(buf) if lower else buf
     start, end, row = word_spans(buf, offsets)
-    return mix64(span_hash(prefix_hash(text), start, end)), row
+    return span_keys(text, start, end), row
 
 
 def shingle_sets(column: pa.Array, words: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .kernels import mix64, prefix_hash, span_hash, text_slices, word_spans
+from .kernels import mix64, span_keys, text_slices, word_spans
 
 _SALT = np.uint64(0xA0761D6478BD642F)
 
@@ -116,8 +116,7 @@ def measures(buf: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     """The counts of :func:`repetition_rules` for the texts of one slice."""
     n = len(offsets) - 1
     start, end, row = word_spans(buf, offsets)
-    prefix = prefix_hash(buf)
-    words = mix64(span_hash(prefix, start, end))
+    words = span_keys(buf, start, end)
     out = {"n_words": np.bincount(row, minlength=n)}
     points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     out["word_chars"] = np.bincount(row, weights=points[end] - points[start], minlength=n).astype(np.int64)
@@ -134,7 +133,7 @@ def measures(buf: np.ndarray, offsets: np.ndarray, min_repeat: int) -> dict[str,
     line_end = np.minimum(np.append(breaks, len(buf))[stop], offsets[np.minimum(line_row + 1, n)])
     has_word = np.searchsorted(start, line_end) > np.searchsorted(start, line_start)
     ls, le, lr = line_start[has_word], line_end[has_word], line_row[has_word]
-    keys = per_row(mix64(span_hash(prefix, ls, le)), lr)
+    keys = per_row(span_keys(buf, ls, le), lr)
     _, first = np.unique(keys, return_index=True)
     out["n_dup_lines"] = np.bincount(lr, minlength=n) - np.bincount(lr[first], minlength=n)
 

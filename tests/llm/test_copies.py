@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
-from loomery.llm import jaccard, quality, substrings
+from loomery.llm import jaccard, quality, repetition, substrings
 from loomery.llm.components import connected_components
 from loomery.llm.kernels import shingle_sets
 
@@ -237,3 +237,20 @@ def test_shared_passages_do_not_multiply_candidates(spark, monkeypatch):
         assert sorted(map(tuple, found)) == sorted(brute_components(part))
         n.append(made["n"])
     assert n[1] <= 3 * n[0] + 50, n
+
+
+def alternating(size):
+    """A word on which powers of any base collide with those of its complement modulo 2**64."""
+    bits = np.zeros(1, dtype=np.uint8)
+    while len(bits) < size:
+        bits = np.concatenate([bits, 1 - bits])
+    return ["".join(x[b] for b in bits[:size]) for x in ("ab", "ba")]
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 100_000])
+def test_long_words_and_lines_are_not_mixed_up(spark, size):
+    one, two = alternating(size)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == [(1, 1, 1), (2, 1, 2)]
+    docs = spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"{one}\n{one}")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dup_lines) for r in repetition.repetition_rules(docs).collect()) == [(1, 0), (2, 1)]
