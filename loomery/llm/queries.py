@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from . import jaccard, lexical, lines, mixing, neighbours, packing, quality, repetition, substrings, toxicity, warc
+from . import cover, jaccard, lexical, lines, mixing, neighbours, packing, quality, repetition, substrings, toxicity, warc
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -206,6 +206,28 @@ SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 10
 """
 
 
+@query
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in sequences of 35 that are found twice or more leave every document."""
+    out = cover.remove_repeated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("changed"), F.col("kept").alias("kept_text"))
+
+
+ORACLES["op12_substring_dedup"] = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+v AS (SELECT doc_id, i, list_aggregate(ws[i : i + 34], 'string_agg', ' ') AS win FROM t, unnest(range(1, len(ws) - 33)) AS u(i)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY win) AS n FROM v) WHERE n > 1),
+k AS (
+  SELECT t.doc_id, t.j, t.word, max(r.i) OVER (PARTITION BY t.doc_id ORDER BY t.j ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS j, unnest(ws) AS word FROM t) t LEFT JOIN r ON r.doc_id = t.doc_id AND r.i = t.j
+)
+SELECT t.doc_id, CAST(len(t.ws) AS BIGINT) AS n_words, count(*) FILTER (k.gone) AS n_removed,
+       sha256(coalesce(string_agg(k.word, ' ' ORDER BY k.j) FILTER (NOT k.gone), '')) AS kept_sha256,
+       count(*) FILTER (k.gone) > 0 AS changed, coalesce(string_agg(k.word, ' ' ORDER BY k.j) FILTER (NOT k.gone), '') AS kept_text
+FROM t LEFT JOIN k USING (doc_id) GROUP BY t.doc_id, t.ws
+"""
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
