@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.store import written
+
 #: Most rows of a side that a join may broadcast.
 BROADCAST_ROWS = 20_000
 
@@ -18,9 +20,11 @@ def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Add ``place``, from 0, in ``order``: ranges are numbered each by itself and moved by the counts of those before.
 
-    No task sees the whole table; the counts have a row for each range.
+    No task sees the whole table; the counts have a row for each range.  The
+    ranges are written once, since two plans over one table may cut it
+    differently.
     """
-    ranged = rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    ranged = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.select("part", F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(W.partitionBy("part").orderBy(*order)) - 1

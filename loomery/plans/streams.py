@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources import files
-from ..streaming import flows
+from ..operators.ranks import numbered
+from ..sources import files, vectors
+from ..streaming import flows, session_store, state
 from .registry import query, scratch, table
 
 
@@ -42,3 +46,119 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, text and number of tables of every page; the tests hold the reader to small pages."""
     out = files.html_documents(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
     return out.select("page_id", "title", "content", F.size("tables").cast("long").alias("n_tables"))
+
+
+def arriving(rows: DataFrame, sf_dir: str, jitter: int, slices: int = 5) -> DataFrame:
+    """``rows`` (event_id, ts, ...) as a stream of files: each row comes up to ``jitter`` seconds after its time, rows of a file in any order."""
+    spark, folder = rows.sparkSession, f"{scratch(rows.sparkSession)}/arriving-{uuid.uuid4().hex}"
+    comes = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 + F.col("event_id") * 7919 % jitter
+    ends = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("z")).first()
+    step = ((ends.z or 0) - (ends.a or 0) + jitter) / slices + 1
+    cut = rows.withColumn("slice", F.floor((comes - F.lit(ends.a or 0)) / step))
+    for i in range(slices):
+        cut.where(F.col("slice") == i).drop("slice").write.parquet(f"{folder}/{i}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/*")
+
+
+TOKENS = """e AS (SELECT user_id || '-' || (epoch_us(ts) // 432000000000) AS request, user_id, event_id, ts FROM events),
+s AS (SELECT *, row_number() OVER w - 1 AS seq, count(*) OVER (PARTITION BY request) AS n FROM e WINDOW w AS (PARTITION BY request ORDER BY ts, event_id)),
+k AS (SELECT *, CASE WHEN seq = n - 1 AND user_id % 5 <> 0 THEN 'done' WHEN seq % 4 = 2 THEN 'sources' ELSE 'token' END AS type FROM s),
+ends AS (SELECT request, max(type = 'done') AS finished, epoch_ms(max(ts)) + 518400000 <= (SELECT max(epoch_ms(ts)) FROM events) - 259200000 AS silent,
+  count(*) FILTER (type = 'token') AS tokens, max_by(event_id, seq) FILTER (type = 'sources') AS sources FROM k GROUP BY request)"""
+
+
+@query(f"""WITH {TOKENS}
+SELECT request, row_number() OVER (PARTITION BY request ORDER BY seq) - 1 AS place, type, CAST(event_id AS VARCHAR) AS content FROM k WHERE type = 'token'
+UNION ALL SELECT request, tokens, 'sources', CAST(sources AS VARCHAR) FROM ends WHERE (finished OR silent) AND sources IS NOT NULL
+UNION ALL SELECT request, tokens + CASE WHEN sources IS NULL THEN 0 ELSE 1 END, 'done', CASE WHEN NOT finished THEN 'timeout' END FROM ends WHERE finished OR silent""")
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events of five days as the tokens of a request, which come up to two days late; those of every fifth user never end."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    span = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 432_000_000_000)
+    rows = events.withColumn("request", F.concat(F.col("user_id").cast("string"), F.lit("-"), span.cast("string")))
+    own = W.partitionBy("request")
+    rows = rows.withColumns({"seq": F.row_number().over(own.orderBy("ts", "event_id")).cast("long") - 1, "n": F.count("*").over(own)})
+    kind = F.when((F.col("seq") == F.col("n") - 1) & (F.col("user_id") % 5 != 0), "done").when(F.col("seq") % 4 == 2, "sources").otherwise("token")
+    rows = rows.select("event_id", "request", "seq", kind.alias("type"), F.when(kind != "done", F.col("event_id").cast("string")).alias("content"), "ts")
+    ordered = state.ordered_tokens(arriving(rows, sf_dir, 172_800), silence=518_400, late="3 days")
+    return flows.run_once(ordered, scratch(spark), stateful=True)
+
+
+def cache_sql(ttl: int, most: int) -> str:
+    """A cache step by step: its entries are a list, the first to expire in front."""
+    return f"""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type AS q, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+  FROM events WHERE epoch_ms(ts) <= (SELECT max(epoch_ms(ts)) FROM events) - 86400000),
+c AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(q VARCHAR, e BIGINT)[]) AS l, CAST(NULL AS BIGINT) AS event_id, CAST(NULL AS VARCHAR) AS q, false AS hit FROM r
+  UNION ALL SELECT user_id, n + 1, CASE WHEN hit THEN l ELSE list_append(CASE WHEN len(f) >= {most} THEN f[2:] ELSE f END, {{'q': q, 'e': t + {ttl}}}) END, event_id, q, hit
+  FROM (SELECT c.user_id, c.n, c.l, r.event_id, r.q, r.t, len(list_filter(c.l, lambda x: x.q = r.q AND x.e > r.t)) > 0 AS hit, list_filter(c.l, lambda x: x.q <> r.q) AS f
+        FROM c JOIN r ON r.user_id = c.user_id AND r.n = c.n + 1))
+SELECT user_id AS shard, event_id AS seq, q AS query, hit FROM c WHERE n > 0"""
+
+
+def lookups(spark: SparkSession, sf_dir: str, ttl: int | None, most: int) -> DataFrame:
+    """Each user's event types as the requests of a cache, in several spellings, up to twelve hours late; rows of the last day wait for more."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    spelt = F.when(i % 3 == 0, F.concat(F.lit("  "), F.upper(kind))).when(i % 3 == 1, F.concat(kind, F.lit("\t "))).otherwise(kind)
+    rows = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("shard"), i.alias("seq"), spelt.alias("query"), "ts")
+    return flows.run_once(state.cache_lookups(arriving(rows, sf_dir, 43_200), ttl, most, "1 day"), scratch(spark), stateful=True)
+
+
+@query(cache_sql(172_800_000_000, 3))
+def intent_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of caches of three places whose entries live two days."""
+    return lookups(spark, sf_dir, 172_800, 3)
+
+
+@query(cache_sql(10**17, 4))
+def decompose_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of caches of four places where the first entered goes."""
+    return lookups(spark, sf_dir, None, 4)
+
+
+@query("""WITH p AS (SELECT e.vec_id, e.embedding, d.text, d.source, CASE WHEN e.vec_id % 3 <> 0 THEN d.lang END AS lang FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id)
+SELECT vec_id AS id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, CASE WHEN vec_id % 4 = 0 THEN 'second' ELSE 'first' END AS version,
+  lang, CASE WHEN text <> '' THEN length(substr(text, 1, 10000)) END AS parent_chars,
+  CAST(2 + CASE WHEN text IS NULL THEN 0 ELSE 1 END + CASE WHEN lang IS NULL THEN 0 ELSE 1 END + CASE WHEN text <> '' THEN 1 ELSE 0 END AS BIGINT) AS n_fields FROM p""")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of all vectors, every fourth replaced by a later one, as the index has them."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text", "lang")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").join(docs, "vec_id", "left")
+
+    def points(version: str) -> DataFrame:
+        body = vectors.payload(F.col("text"), F.col("vec_id"), {"lang": F.when(F.col("vec_id") % 3 != 0, F.col("lang")), "version": F.lit(version)}, F.col("text"))
+        return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), body.alias("payload"), F.lit(version).alias("version"))
+
+    store = vectors.open_points(spark, f"{scratch(spark)}/points-{uuid.uuid4().hex}", 8)
+    vectors.upsert_points(store, points("first"), F.lit(0))
+    again = points("lost").unionByName(points("second")).where("id % 4 = 0")
+    vectors.upsert_points(store, again, F.col("version") == "second")
+    field = lambda name: F.get_json_object("payload", f"$.{name}")
+    keys = F.size(F.json_object_keys("payload")).cast("long")
+    return store.read().select("id", F.round("norm", 6).alias("norm"), field("version").alias("version"), field("lang").alias("lang"), F.length(field("parent_content")).cast("long").alias("parent_chars"), keys.alias("n_fields"))
+
+
+@query("""WITH m AS (SELECT conv_id, turn, role, text, conv_id * 100 + turn AS s FROM conversations),
+t AS (SELECT *, max(s) OVER () AS now, max(s) OVER (PARTITION BY conv_id) AS last, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM m)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, CAST(count(*) AS BIGINT) AS n_messages, min(turn) AS first_seq, max(turn) AS last_seq, CAST(max(last) AS BIGINT) AS last_access,
+  '[이전 대화]' || chr(10) || coalesce(string_agg(CASE role WHEN 'user' THEN '사용자: ' WHEN 'assistant' THEN '어시스턴트: ' END || coalesce(text, '') || chr(10), '' ORDER BY turn) FILTER (role IN ('user', 'assistant')), '') AS history
+FROM t WHERE back <= 4 AND last >= now - 5000 GROUP BY conv_id""")
+def session_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations merged turn by turn from a stream, each batch offered twice; four messages stay, older sessions have expired."""
+    folder = f"{scratch(spark)}/sessions-{uuid.uuid4().hex}"
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").alias("seq"), "role", F.coalesce("text", F.lit("")).alias("content"), F.timestamp_seconds(F.col("conv_id") * 100 + F.col("turn")).alias("ts"), F.lit(None).cast("array<string>").alias("sources"))
+    for i, some in enumerate((F.col("seq") <= 1, F.col("seq").between(2, 3), F.col("seq") > 3)):
+        turns.where(some).coalesce(1).write.parquet(f"{folder}/in/{i}")
+    store = session_store.open_store(spark, f"{folder}/store", 8)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
+    session_store.keep_sessions(store, stream, f"{folder}/state", max_turns=2)
+    session_store.add_messages(store, turns, 0, max_turns=2)  # a batch that is in already
+    session_store.expire(store, F.timestamp_seconds(F.lit(turns.agg(F.max(F.unix_seconds("ts"))).first()[0] or 0)), 5000)
+    m = F.col("messages")
+    return store.read().select("session_id", F.size(m).cast("long").alias("n_messages"), m[0]["seq"].alias("first_seq"), F.element_at(m, -1)["seq"].alias("last_seq"), F.unix_seconds("last_access").alias("last_access"), session_store.history(m).alias("history"))
+
+
+@query("SELECT event_id, user_id, event_type, value, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS place FROM events")
+def event_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with its place from the newest on, numbered by ranges."""
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "ts")
+    return numbered(rows, F.desc("ts"), F.col("event_id")).drop("ts")

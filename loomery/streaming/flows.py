@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable
 
@@ -11,14 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import squash
 from ..operators.upkeep import diff_manifests
-from ..sources.files import read_manifest, scan_folder
+from ..sources.files import scan_folder
+from ..sources.store import commit, folders, latest
 
 
 def sessions(events: DataFrame, gap: str = "60 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, end, n_events) of a stream of events (user_id, ts): a gap of more than ``gap`` ends a session.
 
-    State is kept for each user's open session only; events more than
-    ``late`` behind the newest are dropped.  ``end`` is the last event's time.
+    In append mode state is kept for each user's open session only, and a
+    session comes out once nothing can join it; complete mode keeps and gives
+    all of them.  Events more than ``late`` behind the newest are dropped.
+    ``end`` is the last event's time.
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return rows.groupBy("user_id", F.session_window("ts", gap)).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count("*").alias("n_events")).drop("session_window")
@@ -30,34 +32,51 @@ def first_requests(requests: DataFrame, keep: str = "300 seconds") -> DataFrame:
     return rows.withWatermark("ts", keep).dropDuplicatesWithinWatermark(["norm"])
 
 
-def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Process all that is there now and return what the stream has given, as a written table below ``folder``."""
-    spark, out = stream.sparkSession, f"{folder}/out-{uuid.uuid4().hex}"
+#: The state store that operators with their own state need.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("append" if mode == "append" else "overwrite").parquet(out)
 
-    flow = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str, mode: str = "append", run: str | None = None, stateful: bool = False) -> DataFrame:
+    """Process all that is there now and return what the stream has given so far, as written tables below ``folder``.
+
+    A later call with the same ``run`` goes on where the last one ended.
+    Every batch has a folder of its own, which a replay of it replaces.
+    """
+    spark, run = stream.sparkSession, run or uuid.uuid4().hex
+    out = f"{folder}/out-{run}"
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/{number:012d}")
+
+    usual = spark.conf.get(STATE_STORE)
+    if stateful:
+        spark.conf.set(STATE_STORE, ROCKS)
+    try:
+        flow = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/state-{run}").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(STATE_STORE, usual)
     flow.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    parts = [f"{out}/{n}" for n in folders(spark, out)]
+    if mode == "complete":
+        parts = parts[-1:]
+    return spark.read.schema(stream.schema).parquet(*parts) if parts else spark.createDataFrame([], stream.schema)
 
 
-def process_changes(spark: SparkSession, folder: str, manifest: str, process: Callable[[DataFrame], None]) -> None:
-    """Give new and modified files of ``folder`` to ``process``; their hashes are saved only after it has returned.
+def process_changes(spark: SparkSession, folder: str, state: str, process: Callable[[DataFrame], None]) -> None:
+    """Give new and modified files of ``folder`` to ``process``; their hashes count only after it has returned.
 
-    The saved manifest has a row for each file name, which is bounded by what
-    a folder lists; it replaces the old one by renaming.
+    What is listed is written once, names, hashes and bytes of one moment,
+    below ``state``: ``process`` reads that, and the next call compares with
+    its hashes.  A file that changes meanwhile is seen the next time.  A call
+    that stops leaves the hashes of the last that did not.
     """
+    number, content = latest(spark, state)
+    path = f"{state}/snapshots/{uuid.uuid4().hex}"
     found = scan_folder(spark, folder)
-    saved = read_manifest(spark, manifest)
-    changed = diff_manifests(found, saved).where("change in ('new', 'modified')").select("name")
+    found.write.parquet(path)
+    found = spark.read.schema(found.schema).parquet(path)
+    saved = spark.read.schema(found.schema).parquet(content["snapshot"]) if content else spark.createDataFrame([], found.schema)
+    changed = diff_manifests(found, saved.select("name", "sha256")).where("change in ('new', 'modified')").select("name")
     process(found.join(changed, "name", "left_semi"))
-    hashes = {r.name: r.sha256 for r in found.select("name", "sha256").collect()}
-    fs = spark._jvm.org.apache.hadoop.fs
-    path, draft = fs.Path(manifest), fs.Path(f"{manifest}.{uuid.uuid4().hex}")
-    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    out = store.create(draft)
-    out.write(bytearray(json.dumps(hashes, ensure_ascii=False).encode()))
-    out.close()
-    store.delete(path, False)
-    store.rename(draft, path)
+    commit(spark, state, number + 1, {"snapshot": path})

@@ -88,7 +88,7 @@ def test_hashes_are_saved_only_after_success(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("b")
     seen = []
     note = lambda df: seen.append(sorted(r.name for r in df.collect()))
-    args = (spark, f"{tmp_path}/in", f"{tmp_path}/manifest.json")
+    args = (spark, f"{tmp_path}/in", f"{tmp_path}/state")
     with pytest.raises(ZeroDivisionError):
         flows.process_changes(*args, lambda df: 1 / 0)
     flows.process_changes(*args, note)
