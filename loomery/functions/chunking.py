@@ -22,6 +22,8 @@ HEADINGS = (
     r"(?m)^[□■○●◦]\s+.+",
 )
 MERGE_BELOW, DROP_BELOW = 500, 200
+#: Characters of a title and of a parent section.
+TITLE_CHARS, PARENT_CHARS = 60, 12_000
 
 
 def starts(size: Column, chunk: int, overlap: int) -> Column:
@@ -122,14 +124,62 @@ def section_chunks(text: str, size: int) -> list[str]:
         merged[-1] += "\n\n" + held
     elif held:
         merged.append(held)
-    out: list[str] = []
-    for part in merged:
-        inner = _headed(part, 2) if len(part) > size else []
-        for piece in _gather(_cut_at(part, inner), size) if inner else [part]:
-            out += [piece] if len(piece) <= size else _pieces(piece, size)
+    out = [piece for part in merged for piece in _within(part, size)]
     return [p for p in out if len(p.strip()) >= DROP_BELOW] or _pieces(text, size)
 
 
+def _within(part: str, size: int) -> list[str]:
+    """A section as it is if it fits, else along its inner headings, else in plain pieces."""
+    if len(part) <= size:
+        return [part]
+    inner = _headed(part, 2)
+    out: list[str] = []
+    for piece in _gather(_cut_at(part, inner), size) if inner else [part]:
+        out += [piece] if len(piece) <= size else _pieces(piece, size)
+    return out
+
+
+def _title(text: str) -> str:
+    """The heading that a text opens with, if it does."""
+    line = text.strip().split("\n", 1)[0].strip()
+    return line[:TITLE_CHARS] if any(re.match(p, line) for p in HEADINGS) else ""
+
+
+def context_chunks(text: str, size: int) -> list[tuple[str, str, str, str]]:
+    """(chunk id, context, parent, contents) along two levels of headings.
+
+    The large sections are those of :func:`section_chunks` before small ones
+    are put together.  The context names the large section and, where a chunk
+    opens with another heading, that one; the parent is the large section, cut
+    at its end.  Texts without sections, or with small ones only, are cut as
+    there, each chunk its own parent.
+    """
+    at = _headed(text, 3)
+    found = []
+    for k, section in enumerate(p for p in [text[: at[0]].strip(), *_cut_at(text, at)] if p) if at else ():
+        major = _title(section)
+        for i, piece in enumerate(_within(section, size)):
+            if len(piece.strip()) < DROP_BELOW:
+                continue
+            minor = _title(piece)
+            names = [major, minor] if minor not in ("", major) else [major]
+            found.append((f"section_{k}_chunk_{i}", f"[{' > '.join(names)}]" if major else "", section[:PARENT_CHARS], piece))
+    return found or [(f"chunk_{i}", "", c, c) for i, c in enumerate(section_chunks(text, size))]
+
+
+def chunk_with_context(docs: DataFrame, size: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, chunk_index, chunk_id, context, parent, contents) of every document with a text that is not blank."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(d, k, *c) for d, t in zip(batch[id_col], batch["text"], strict=True) for k, c in enumerate(context_chunks(t, size))]
+            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk_id", "context", "parent", "contents"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(r"(?U)\S")))
+    return rows.mapInPandas(run, f"{id_col} {kind}, chunk_index long, chunk_id string, context string, parent string, contents string")
+
+
 def chunk_sections(docs: DataFrame, size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_index, contents, title): section-aware chunks; title is the heading that a chunk opens with."""
 

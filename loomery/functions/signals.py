@@ -131,6 +131,32 @@ def markdown_table(rows: Column) -> Column:
     return let(rows, lambda r: F.when((F.size(r) > 0) & (F.size(F.get(r, F.lit(0))) > 0), table(r)).otherwise(""))
 
 
+def table_blocks(text: Column) -> Column:
+    """Blocks of neighbouring lines that open and close with a bar, each line without the blanks around it."""
+
+    def blocks(lines: Column) -> Column:
+        bar = F.transform(lines, lambda x: F.startswith(x, F.lit("|")) & F.endswith(x, F.lit("|")))
+        at = F.sequence(F.lit(1), F.size(lines))
+        is_bar = lambda b, i: F.coalesce(F.try_element_at(b, i), F.lit(False))
+        first = let(bar, lambda b: F.filter(at, lambda i: is_bar(b, i) & ~F.when(i > 1, is_bar(b, F.greatest(i - 1, F.lit(1)))).otherwise(False)))
+        last = let(bar, lambda b: F.filter(at, lambda i: is_bar(b, i) & ~is_bar(b, i + 1)))
+        return F.zip_with(first, last, lambda a, z: F.array_join(F.slice(lines, a, z - a + 1), "\n"))
+
+    return let(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), blocks)
+
+
+def table_parts(block: Column) -> Column:
+    """(head, rows) of a block of :func:`table_blocks`: the cells of its first line, if the second is a rule, and of the others."""
+    cells = lambda line: F.transform(F.split(F.regexp_replace(line, r"^\|\s*|\s*\|$", ""), r"\s*\|\s*"), strip)
+
+    def parts(lines: Column) -> Column:
+        ruled = F.coalesce(F.regexp_like(F.get(lines, F.lit(1)), F.lit(r"^\|(\s*:?-+:?\s*\|)+$")), F.lit(False))
+        body = F.when(ruled, F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))).otherwise(lines)
+        return F.struct(F.when(ruled, cells(lines[0])).alias("head"), F.transform(body, cells).alias("rows"))
+
+    return let(F.split(block, "\n"), parts)
+
+
 def part_labels(n: Column) -> Column:
     """``Part i/n`` for each of n chunks; null for a single one."""
     return F.transform(F.sequence(F.lit(1), n), lambda i: F.when(n > 1, F.concat(F.lit("Part "), i.cast("string"), F.lit("/"), n.cast("string"))))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,7 +100,7 @@ def metric_table(scores: DataFrame) -> DataFrame:
 
 def comparison_summary(scores: DataFrame) -> DataFrame:
     """(metric, base, tuned, improvement) of metrics that have rows under base_ and finetuned_; N/A over a base mean of 0."""
-    side = lambda prefix, name: scores.where(F.startswith("metric", F.lit(prefix))).groupBy(F.substring("metric", len(prefix) + 1, 1000).alias("metric")).agg(F.avg("score").alias(name))
+    side = lambda prefix, name: scores.where(F.startswith("metric", F.lit(prefix))).groupBy(F.substr("metric", F.lit(len(prefix) + 1)).alias("metric")).agg(F.avg("score").alias(name))
     both = side("base_", "base").join(side("finetuned_", "tuned"), "metric")
     percent = F.format_string("%+.1f%%", (F.col("tuned") - F.col("base")) / F.col("base") * 100)
     return both.withColumn("improvement", F.when(F.col("base") > 0, percent).otherwise("N/A"))
@@ -114,26 +117,28 @@ def pair_totals(rows: DataFrame, augmented: str) -> DataFrame:
     return rows.agg(F.count("*").alias("pairs"), F.count_if(~F.col(augmented)).alias("originals"), F.count_if(F.col(augmented)).alias("augmented"))
 
 
-def longest_common(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two arrays, row by row of the usual table."""
-    zero = F.transform(b, lambda _: F.lit(0))
+def longest_common(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence: a bit for each word of ``a``, one step for each word of ``b``."""
+    where: dict[str, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for word in b:
+        same = row & where.get(word, 0)
+        row = ((row + same) | (row - same)) & full
+    return len(a) - row.bit_count()
 
-    def cell(row: Column, old: Column, x: Column) -> Column:
-        # the state is the new row so far; the last cell, the old cell above it and the old one before that decide
-        return F.aggregate(
-            F.sequence(F.lit(1), F.size(b)),
-            F.array().cast("array<int>"),
-            lambda new, j: F.concat(new, F.array(F.when(F.get(b, j - 1) == x, F.coalesce(F.get(old, j - 2), F.lit(0)) + 1).otherwise(F.greatest(F.coalesce(F.get(new, j - 2), F.lit(0)), F.get(old, j - 1))))),
-        )
 
-    last = F.aggregate(a, zero, lambda old, x: cell(old, old, x))
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.element_at(last, -1)).otherwise(0)
+def rouge_l(a: Column, b: Column) -> Column:
+    """F measure of the longest common subsequence of two word arrays; 0 for an empty or null side."""
 
+    @F.pandas_udf("double")
+    def measure(left: pd.Series, right: pd.Series) -> pd.Series:
+        sizes = lambda x: 0 if x is None else len(x)
+        return pd.Series([2.0 * longest_common(list(x), list(y)) / (len(x) + len(y)) if sizes(x) and sizes(y) else 0.0 for x, y in zip(left, right, strict=True)])
 
-def rouge_l(a: Column, b: Column) -> Column:
-    """F measure of the longest common subsequence of two word arrays."""
-    common = longest_common(a, b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), 2.0 * common / (F.size(a) + F.size(b))).otherwise(0.0)
+    return measure(a, b)
 
 
 def bleu(rows: DataFrame, key: str, candidate: str, reference: str, most: int = 4) -> DataFrame:
