@@ -6,6 +6,9 @@ smaller id, on scores rounded to nine digits so that summing order is no matter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -159,3 +162,28 @@ def hybrid_ground_truth(bm25: DataFrame, tfidf: DataFrame, owned: DataFrame | No
     top = F.max("bm25").over(W.partitionBy("query_id"))
     both = both.withColumn("score", 0.4 * F.when(top > 0, F.col("bm25") / top).otherwise(F.col("bm25")) + 0.6 * F.col("cosine"))
     return ranked(both, k).where((F.col("score") > least) | (F.col("rank") == 1))
+
+
+def rerank(pool: DataFrame, texts: DataFrame, asked: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Series], k: int = 5) -> DataFrame:
+    """(query_id, rank, id, rerank_score, score): a fused pool in the order of a scorer of (question, text) pairs.
+
+    ``pool`` (query_id, id, score) is the union of several searches before any
+    of them was cut to ``k``; ``texts`` is (id, body), ``asked`` (query_id,
+    question).  The scorer gets batches of pairs; a pair without a question or
+    a text has score 0.  Equal scores go by falling text, then by falling id.
+    """
+    scored = F.pandas_udf(scorer, "double")
+    pairs = pool.select("query_id", "id", "score").join(texts.select("id", "body"), "id").join(asked.select("query_id", "question"), "query_id", "left")
+    whole = F.col("question").isNotNull() & F.col("body").isNotNull()
+    judged = pairs.withColumn("rerank_score", F.when(whole, scored(F.coalesce("question", F.lit("")), F.coalesce("body", F.lit("")))).otherwise(0.0))
+    order = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), F.desc("body"), F.desc("id"))
+    return judged.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "rerank_score", "score")
+
+
+def term_overlap(question: pd.Series, body: pd.Series) -> pd.Series:
+    """The share of the question's distinct words that a text has, in hundredths."""
+    shares = []
+    for q, t in zip(question, body, strict=True):
+        words = set(q.lower().split())
+        shares.append(round(len(words & set(t.lower().split())) * 100 / len(words)) / 100 if words else 0.0)
+    return pd.Series(shares, dtype="float64")

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking as C
+from ..functions import nouns as N
 from ..functions import text as X
 from ..operators import corpus as O
+from ..sources import readers
 from .registry import query, table
 
 CHUNKS = """chunks AS (
@@ -119,3 +121,34 @@ SELECT doc_id, place FROM r WHERE place % step = 0 AND place < step * 16""")
 def profile_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen documents at even distances."""
     return O.every_nth(table(spark, sf_dir, "documents").select("doc_id"), 16, "doc_id").select("doc_id", "place")
+
+
+@query(r"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '\p{L}+')) AS word FROM documents) GROUP BY word),
+f AS (SELECT word[1:k] AS prefix, word[k + 1:k + 1] AS next, sum(n) AS n FROM w, unnest(range(1, least(length(word), 8) + 1)) AS u(k) GROUP BY 1, 2),
+t AS (SELECT prefix, CAST(sum(n) AS DOUBLE) AS total, sum(n * ln(n)) AS spread FROM f GROUP BY prefix),
+s AS (SELECT t.prefix, round(pow(t.total / h.total, 1.0 / (length(t.prefix) - 1)) * greatest(ln(t.total) - t.spread / t.total, 0.0), 9) AS score FROM t JOIN t h ON h.prefix = t.prefix[1:1] WHERE length(t.prefix) > 1),
+b AS (SELECT word, n, row_number() OVER (PARTITION BY word ORDER BY score DESC, length(prefix) DESC) AS r, prefix FROM (SELECT word, n, word[1:k] AS prefix FROM w, unnest(range(2, least(length(word), 8) + 1)) AS u(k)) JOIN s USING (prefix)),
+c AS (SELECT prefix AS noun, CAST(sum(n) AS BIGINT) AS n FROM b WHERE r = 1 GROUP BY prefix HAVING sum(n) >= 2 AND prefix NOT IN ('the', 'and'))
+SELECT noun, n, row_number() OVER (ORDER BY n DESC, noun) AS place FROM c QUALIFY place <= 100""")
+def noun_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred most frequent heads of words, cut by how they hold together and what follows them."""
+    return N.noun_counts(table(spark, sf_dir, "documents"), "text", stops=("the", "and"))
+
+
+@query("""SELECT 'doc-' || doc_id || '.txt' AS name, 'txt' AS format, CASE WHEN doc_id % 10 <> 3 THEN length(coalesce(text, '')) END AS size, CASE WHEN doc_id % 10 <> 3 THEN 'doc-' || doc_id END AS title, CAST(NULL AS BIGINT) AS n_rows,
+  CASE WHEN doc_id % 10 = 3 THEN 'ValueError' END AS error FROM documents
+UNION ALL SELECT 'event-' || event_id || '.json', 'json', CASE WHEN event_id % 10 <> 4 THEN length(props) END, CASE WHEN event_id % 10 <> 4 THEN 'event-' || event_id END, NULL, CASE WHEN event_id % 10 = 4 THEN 'JSONDecodeError' END FROM events
+UNION ALL SELECT 'order-' || o_orderkey || '.csv', 'csv', CASE WHEN o_orderkey % 5 <> 2 THEN length('key,price' || chr(10) || o_orderkey || ',' || o_orderpriority || chr(10)) END, CASE WHEN o_orderkey % 5 <> 2 THEN 'order-' || o_orderkey END, CASE WHEN o_orderkey % 5 <> 2 THEN 2 END,
+  CASE WHEN o_orderkey % 5 = 2 THEN 'ValueError' END FROM orders
+UNION ALL SELECT 'page-' || page_id || '.pdf', 'pdf', NULL, NULL, NULL, 'LookupError' FROM pages""")
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of four formats, some of each broken and those of one without a reader: every file gives a row."""
+    d, e, o, p = (table(spark, sf_dir, t) for t in ("documents", "events", "orders", "pages"))
+    name = lambda kind, key, ext: F.concat(F.lit(f"{kind}-"), F.col(key).cast("string"), F.lit(f".{ext}"))
+    file = lambda rows, kind, key, ext, body: rows.select(name(kind, key, ext).alias("name"), F.lit(ext).alias("format"), body.cast("binary").alias("content"))
+    text = F.when(F.col("doc_id") % 10 == 3, F.concat(F.unhex(F.lit("FF30FF")), F.coalesce("text", F.lit("")).cast("binary"))).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
+    props = F.when(F.col("event_id") % 10 == 4, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    row = F.concat(F.lit("key,price\n"), F.col("o_orderkey").cast("string"), F.lit(","), "o_orderpriority", F.when(F.col("o_orderkey") % 5 == 2, ",more").otherwise(""), F.lit("\n"))
+    files = file(d, "doc", "doc_id", "txt", text).unionByName(file(e, "event", "event_id", "json", props)).unionByName(file(o, "order", "o_orderkey", "csv", row)).unionByName(file(p, "page", "page_id", "pdf", F.col("html")))
+    rows = F.when(F.size("tables") > 0, F.size(F.col("tables")[0])).cast("long")
+    return readers.read_files(files).select("name", "format", F.length("content").cast("long").alias("size"), "title", rows.alias("n_rows"), F.split_part("error", F.lit(":"), F.lit(1)).alias("error"))

@@ -133,3 +133,17 @@ def groundedness_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("pos"), F.when(F.col("vec_id") % 7 == 0, 99).otherwise(F.col("label")).cast("long").alias("source_doc"), F.col("embedding").alias("vector"))
     sources = rows.where("vec_id % 2 = 1").select(F.col("label").cast("long").alias("source_doc"), F.col("embedding").alias("vector"))
     return Q.grounded(asked, sources).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"""WITH {PAIRS}, v AS (SELECT pos, question, 0 AS place, 'Say: ' || question AS variant FROM pairs UNION ALL SELECT pos, question, 1, reverse(question) FROM pairs
+  UNION ALL SELECT pos, question, 2, substr(question, 1, length(question) // 2) FROM pairs UNION ALL SELECT pos, question, 3, question || '?' FROM pairs),
+g AS (SELECT question, place, variant, lower(replace(question, ' ', '')) AS q, lower(replace(variant, ' ', '')) AS t FROM (SELECT DISTINCT question, place, variant FROM v)),
+o AS (SELECT *, list_distinct(list_transform(range(1, length(q)), lambda i: substr(q, i, 2))) AS x, list_distinct(list_transform(range(1, length(t)), lambda i: substr(t, i, 2))) AS y FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY place) AS nth FROM o WHERE len(x) > 0 AND len(y) > 0 AND len(list_intersect(x, y)) / greatest(len(x), len(y)) >= 0.3)
+SELECT question, place, variant FROM k WHERE nth <= 2""")
+def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of four variants of each question the first two that share three tenths of its bigrams."""
+    q = F.col("question")
+    made = F.array(F.concat(F.lit("Say: "), q), F.reverse(q), F.substr(q, F.lit(1), F.floor(F.length(q) / 2).cast("int")), F.concat(q, F.lit("?")))
+    variants = pairs(spark, sf_dir).where("question is not null").select("question", F.posexplode(made).alias("place", "variant")).distinct()
+    return Q.paraphrase_filter(variants).select("question", F.col("place").cast("long").alias("place"), "variant")

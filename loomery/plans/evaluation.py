@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import difficulty
+from ..functions.text import difficulty, tokens
 from ..operators import evaluate as E
 from ..operators.ranks import bounded
 from .curation import PAIRS, pairs
@@ -63,6 +63,33 @@ def rouge_2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.rouge_n(pairs(spark, sf_dir), "pos", "answer", "question", 2).withColumn("rouge", F.round("rouge", 6))
 
 
+WORDS = rf"""{PAIRS}, w AS (SELECT pos, list_filter(regexp_split_to_array(lower(answer), '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(question), '\s+'), lambda x: x <> '') AS b FROM pairs)"""
+
+
+@query(f"""WITH RECURSIVE {WORDS},
+r AS (SELECT pos, a, b, CAST(0 AS BIGINT) AS i, list_transform(range(0, len(b) + 1), lambda x: CAST(0 AS BIGINT)) AS l FROM w WHERE len(a) > 0 AND len(b) > 0
+  UNION ALL SELECT pos, a, b, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) AS l
+  FROM (SELECT pos, a, b, i, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, len(b) + 1), lambda j: CASE WHEN b[j] = a[i + 1] THEN l[j] + 1 ELSE l[j + 1] END)) AS c FROM r WHERE i < len(a)))
+SELECT pos, round(coalesce(2.0 * list_max(l) / (len(w.a) + len(w.b)), 0.0), 4) AS rouge FROM w LEFT JOIN (SELECT pos, l FROM r WHERE i = len(a)) r USING (pos)""")
+def rouge_l_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROUGE-L of the answers and questions of all conversations."""
+    words = pairs(spark, sf_dir).select("pos", tokens(F.col("answer")).alias("a"), tokens(F.col("question")).alias("b"))
+    return words.select("pos", F.round(E.rouge_l(F.col("a"), F.col("b")), 4).alias("rouge"))
+
+
+@query(f"""WITH {WORDS.replace(", w AS (", ", w0 AS (")}, w AS (SELECT pos, a AS b, list_transform(list_filter(range(1, len(a) + 1), lambda i: i % 9 <> 5), lambda i: a[i]) AS a FROM w0), n AS (SELECT unnest([1, 2, 3, 4]) AS n),
+ga AS (SELECT pos, n, list_aggregate(a[i : i + n - 1], 'string_agg', ' ') AS g, count(*) AS c FROM (SELECT pos, a, n, unnest(range(1, greatest(len(a) - n + 2, 1))) AS i FROM w, n) GROUP BY ALL),
+gb AS (SELECT pos, n, list_aggregate(b[i : i + n - 1], 'string_agg', ' ') AS g, count(*) AS c FROM (SELECT pos, b, n, unnest(range(1, greatest(len(b) - n + 2, 1))) AS i FROM w, n) GROUP BY ALL),
+p AS (SELECT pos, n, sum(least(ga.c, coalesce(gb.c, 0))) / sum(ga.c) AS p FROM ga LEFT JOIN gb USING (pos, n, g) GROUP BY pos, n),
+m AS (SELECT pos, min(p) AS low, count(*) AS have, sum(CASE WHEN p > 0 THEN ln(p) ELSE 0 END) / 4 AS log FROM p GROUP BY pos)
+SELECT pos, round(CASE WHEN low > 0 AND have = 4 THEN exp(log + least(0.0, 1 - len(b) / len(a))) ELSE 0.0 END, 4) AS bleu FROM w LEFT JOIN m USING (pos)""")
+def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BLEU of the answers of all conversations without every ninth word against the whole ones."""
+    whole = pairs(spark, sf_dir).select("pos", tokens(F.col("answer")).alias("b"))
+    words = whole.select("pos", "b", F.filter("b", lambda x, i: i % 9 != 4).alias("a"))
+    return E.bleu(words, "pos", "a", "b").withColumn("bleu", F.round("bleu", 4))
+
+
 SCORES = "s AS (SELECT 'quality' AS metric, CAST(quality AS DOUBLE) AS score FROM labels UNION ALL SELECT 'toxic', CAST(toxic AS DOUBLE) FROM labels)"
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.signals import observation, unit_score
 from ..operators import search as S
 from .registry import query, table
 
@@ -162,3 +163,26 @@ def hybrid_ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     group = lambda rows, c, name: rows.select(F.col(c).alias(name), (F.col(c) % 4).alias("g"))
     owned = group(asked, "conv_id", "query_id").join(group(items, "item_id", "id"), "g").select("query_id", "id")
     return S.hybrid_ground_truth(bm25, tfidf(spark, sf_dir), owned).select("query_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@query(rf"""WITH {FUSED}, pool AS (SELECT query_id, id, score FROM top WHERE rank <= 15),
+w AS (SELECT item_id AS query_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) AS ws FROM benchmark),
+j AS (SELECT p.*, d.text AS body, CASE WHEN w.ws IS NULL OR len(w.ws) = 0 OR d.text IS NULL THEN 0.0 ELSE round_even(len(list_intersect(w.ws, t.ws)) * 100 / len(w.ws), 0) / 100 END AS rerank_score
+  FROM pool p JOIN documents d ON d.doc_id = p.id LEFT JOIN w USING (query_id) LEFT JOIN (SELECT doc_id, ws FROM tok) t ON t.doc_id = p.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, body DESC, id DESC) AS rank FROM j)
+SELECT query_id, rank, id, CAST(rerank_score AS DOUBLE) AS rerank_score, round(greatest(0.0, least(1.0, score)), 6) AS score FROM r WHERE rank <= 5""")
+def rerank_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of both searches, fifteen of it for each query, in the order of shared words."""
+    pool = S.fused_topk(vectors(spark, sf_dir, 15), texts(spark, sf_dir, 10), k=15)
+    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return S.rerank(pool, bodies, asked, S.term_overlap, 5).withColumn("score", F.round(unit_score(F.col("score")), 6))
+
+
+@query(f"""WITH {BM25} SELECT query_id, printf('%d results, best %.3f: %s', count(*), max(score), array_to_string(list_transform(list(id ORDER BY rank)[1:3], lambda x: 'document-' || x), ', ')) AS observation
+FROM bmr WHERE rank <= 5 GROUP BY query_id""")
+def search_observation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an agent is told of each search."""
+    per = texts(spark, sf_dir, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("found"))
+    ids, scores = F.transform("found", lambda x: F.concat(F.lit("document-"), x["id"].cast("string"))), F.transform("found", lambda x: x["score"])
+    return per.select("query_id", observation(ids, scores).alias("observation"))

@@ -16,7 +16,7 @@ from ..functions.text import strip
 MAGIC = (("pdf", "255044462D"), ("zip", "504B0304"), ("ole", "D0CF11E0A1B11AE1"))
 #: Formats that the first bytes only narrow down to a container, by extension.
 CONTAINERS = {"zip": ("docx", "pptx", "xlsx", "hwpx"), "ole": ("doc", "ppt", "xls", "hwp")}
-TEXT_FORMATS = {"txt": "txt", "md": "md", "markdown": "md", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl"}
+TEXT_FORMATS = {"txt": "txt", "md": "md", "markdown": "md", "html": "html", "htm": "html", "json": "json", "jsonl": "jsonl", "csv": "csv"}
 
 
 def file_format(name: Column, content: Column) -> Column:
