@@ -7,12 +7,15 @@ and document d with vector d.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.signals import observation, unit_score
 from ..operators import search as S
-from .registry import query, table
+from ..operators.textindex import TextIndex
+from .registry import query, scratch, table
 
 BM25 = r"""tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS ws FROM documents),
 stats AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_tokens, avg(len(ws)) AS avgdl FROM tok),
@@ -37,8 +40,22 @@ def vectors(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return S.vector_topk(rows, rows.where("vec_id % 100 = 0"), k)
 
 
+#: The index of each table of documents that this session has built, by the table's files and their times.
+_indexes: dict[tuple, TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of ``documents``, built by the first search of a session and read by all later ones while the table stays as it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    status = where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where), where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    key = (spark.sparkContext.applicationId, sf_dir, status[0].getLength(), status[0].getFileCount(), status[1].getModificationTime())
+    if key not in _indexes:
+        _indexes[key] = TextIndex(spark, f"{scratch(spark)}/index-{uuid.uuid4().hex}").build(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _indexes[key]
+
+
 def texts(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return S.bm25_topk(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k)
+    return text_index(spark, sf_dir).topk(table(spark, sf_dir, "benchmark"), k)
 
 
 def fused(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:

@@ -5,7 +5,7 @@ import time
 
 import pytest
 from loomery.functions import chunking, nouns, signals
-from loomery.operators import evaluate, search
+from loomery.operators import evaluate, search, textindex
 from loomery.sources import readers, sinks
 from pyspark.sql import functions as F
 
@@ -117,3 +117,23 @@ def test_a_report_is_one_file(spark, tmp_path):
     sinks.write_report(spark.createDataFrame([(3, "x")], "pairs long, note string"), f"{tmp_path}/report")
     assert len(list((tmp_path / "report").glob("part-*"))) == 1
     assert tuple(spark.read.json(f"{tmp_path}/report").select("pairs", "note").first()) == (3, "x")
+
+
+def test_the_index_finds_what_a_scan_finds_and_skips_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "BLOCK", 8)
+    monkeypatch.setattr(textindex, "SPREAD", 100)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(300)]
+    docs = [(i, " ".join(["The", "of"] * rng.randrange(1, 4) + [words[int(rng.paretovariate(0.6)) % 300] for _ in range(rng.randrange(40))])) for i in range(600)]
+    docs += [(1000, None), (1001, ""), (1002, "w7 w7 w7 rare")]
+    queries = [(1, "the rare w7"), (2, "w1 W2 w2 w250"), (3, "of the w9"), (4, "unknown"), (5, None), (6, "the")]
+    d, q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(queries, "item_id long, text string")
+    index = textindex.TextIndex(spark, f"{tmp_path}/index").build(d, "doc_id", "text", 4)
+    plain = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 9)) for r in df.collect())
+    assert plain(index.topk(q, 5)) == plain(search.bm25_topk(d, q, 5))
+    asked = index._asked(q, "item_id", "text")
+    assert index.needed(asked, 3).count() < index._read("blocks").join(asked, ["bucket", "term"]).count()
+    # another object reads what is there; a new build replaces it
+    assert plain(textindex.TextIndex(spark, f"{tmp_path}/index").topk(q, 2)) == plain(search.bm25_topk(d, q, 2))
+    index.build(d.limit(0), "doc_id", "text")
+    assert index.topk(q, 5).count() == 0
