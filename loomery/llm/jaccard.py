@@ -16,7 +16,9 @@ documents is hot: it costs too many candidates and makes none.
   sets.  Among themselves their shingles are ordered anew, rare ones first,
   each takes the l with the least estimated candidates, and the places of a
   shared shingle must allow for the overlap that the two sizes ask for: a
-  copy with too many changes of its own meets nobody.
+  copy with too many changes of its own meets nobody.  So must bitmaps of
+  what each set shares: two copies that differ from one text in different
+  places have too many bits that the other has not.
 
 Documents of equal sets are one node.  First every node is verified against
 the node it shares most prefix shingles with, among the least and the largest
@@ -32,7 +34,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ HOT, FEW = 24, 16
 VERIFY = 8
 #: Largest l - 1 of a set whose tokens are ordered by their documents.
 MORE = 4
+#: Bitmaps, of 64 bits each, of the tokens that such a set shares with others.
+MAPS = ("m0", "m1", "m2", "m3")
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -160,7 +164,7 @@ def leaders(groups: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 
 def rare_first(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, place, l): prefixes of whole ``sets`` (token, node, n), rare tokens first.
+    """(token, node, place, l, shared, MAPS): prefixes of whole ``sets`` (token, node, n), rare tokens first.
 
     The tokens of an l-prefix meet sum(df - 1) others, and a candidate shares
     l of them, so there are at most sum(df - 1) / l candidates, each worth
@@ -169,7 +173,8 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     and the more hot tokens its usual prefix holds, the longer it gets and
     the more of it a partner must share; past 1 + MORE the tokens added are
     the hottest of the set.  Tokens of one set only keep their place but make
-    no row.
+    no row.  ``shared`` counts the others, the bitmaps say where their hashes
+    lie: a bit that one set has and another has not is a token not in common.
     """
     counted = sets.join(sets.groupBy("token").agg(F.count("*").alias("df")), "token")
     order = W.partitionBy("node").orderBy("df", "token")
@@ -179,8 +184,20 @@ def rare_first(sets: DataFrame, percent: int) -> DataFrame:
     l_here = F.col("place") - usual + 2
     estimate = F.when((l_here >= 1) & (l_here <= F.least(share, F.lit(1 + MORE))), F.struct((F.col("cost") * (1 + VERIFY / l_here)).alias("cost"), l_here.alias("l")))
     best = F.min(estimate).over(W.partitionBy("node"))["l"]
-    near = placed.withColumn("l", best.cast("long"))
-    return near.where((F.col("df") > 1) & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l")
+    both = F.col("df") > 1
+    spot = F.pmod(F.xxhash64("token"), F.lit(64 * len(MAPS))).cast("int")
+    bit = lambda j: F.when(both & (F.floor(spot / 64) == j), F.expr("shiftleft(1L, spot % 64)"))
+    own = W.partitionBy("node")
+    near = placed.withColumn("spot", spot).withColumns({"l": best.cast("long"), "shared": F.count_if(both).over(own)} | {m: F.coalesce(F.bit_or(bit(j)).over(own), F.lit(0).cast("long")) for j, m in enumerate(MAPS)})
+    return near.where(both & (F.col("place") < usual + F.col("l") - 1)).select("token", "node", "place", "l", "shared", *MAPS)
+
+
+def in_common(a: dict, b: dict) -> Column:
+    """At most so many tokens of ``a`` are in ``b``: those that it shares, less the bits that ``b`` has not."""
+    out = a["shared"]
+    for m in MAPS:
+        out = out - F.bit_count(a[m].bitwiseAND(F.bitwise_not(b[m])))
+    return out
 
 
 def special_candidates(plain: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -201,10 +218,10 @@ def special_candidates(plain: DataFrame, sets: DataFrame, labels: DataFrame, per
 def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(u, v) of nodes of different components that share enough prefix tokens and could reach the threshold.
 
-    ``rows`` is (part, token, node, small, special, l, h, place): part 0 for
-    prefixes of l = 1, where crowded nodes are special and do not meet each
-    other; part 1 for settled crowded nodes; part 2 for mostly hot nodes with
-    rare tokens first.
+    ``rows`` is (part, token, node, small, special, l, h, place, shared,
+    MAPS): part 0 for prefixes of l = 1, where crowded nodes are special and
+    do not meet each other; part 1 for settled crowded nodes; part 2 for
+    mostly hot nodes with rare tokens first, which alone have bitmaps.
     """
     # the rows are read three times: written once, they are not put together anew for each
     rows = materialize(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(sizes, "node"), "candidate-rows")
@@ -213,7 +230,7 @@ def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, perce
     mixed = counts.groupBy(*key).agg(F.count("*").alias("labels"), F.max(F.struct("c", "label")).alias("most")).where("labels > 1").select(*key, F.col("most.label").alias("major"))
     rows = rows.join(small_side(materialize(mixed, "mixed-tokens")), key)
     # of each token's nodes, those outside its largest component meet all others
-    names = ("node", "label", "small", "special", "l", "h", "place", "n")
+    names = ("node", "label", "small", "special", "l", "h", "place", "n", "shared", *MAPS)
     side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in names]
     pairs = rows.where("label <> major").select(*key, *side("a")).join(rows.select(*key, "major", *side("b")), key)
     a, b = ({c: F.col(f"{c}_{x}") for c in names} for x in "ab")
@@ -226,7 +243,8 @@ def cross_candidates(rows: DataFrame, labels: DataFrame, sizes: DataFrame, perce
     t = F.ceil(percent * (a["n"] + b["n"]) / F.lit(100 + percent))
     need = F.when(F.col("part") == 0, 1).when(F.col("part") == 1, settled).otherwise(F.least(a["l"], b["l"], t))
     within = (a["place"] <= a["n"] - t + need - 1) & (b["place"] <= b["n"] - t + need - 1)
-    meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, within).otherwise(True)
+    room = (in_common(a, b) >= t) & (in_common(b, a) >= t)
+    meets = F.when(F.col("part") == 0, ~(a["special"] & b["special"])).when(F.col("part") == 2, within & room).otherwise(True)
     found = pairs.where((a["label"] != b["label"]) & once & fits & small & meets)
     found = found.groupBy("part", F.least(a["node"], b["node"]).alias("u"), F.greatest(a["node"], b["node"]).alias("v")).agg(F.count("*").alias("c"), F.max(need).alias("need"))
     return found.where("c >= need").select("u", "v")
@@ -266,9 +284,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     links = materialize(verify(texts, tried, words, percent), "first-links")
     labels = materialize(connected_components(links), "first-labels")
 
-    shape = ["part", "token", "node", "small", "special", "l", "h", "place"]
+    shape = ["part", "token", "node", "small", "special", "l", "h", "place", "shared", *MAPS]
     no = F.lit(0).cast("long")
-    one = {"part": F.lit(0), "special": F.col("k").isNotNull(), "l": F.lit(1).cast("long"), "h": no, "place": no}
+    blank = {"place": no, "shared": no} | dict.fromkeys(MAPS, no)
+    one = {"part": F.lit(0), "special": F.col("k").isNotNull(), "l": F.lit(1).cast("long"), "h": no} | blank
     rows = first.where(F.col("df") <= HOT).join(small_side(crowded), "node", "left").withColumns(one).select(*shape)
     if not crowded.isEmpty():
         named = texts.withColumnRenamed("doc_id", "node")
@@ -281,7 +300,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
         state = materialize(state.withColumn("special", (F.col("h") >= F.col("l")) | (F.col("n") < FEW)), "settled")
         whole = materialize(state.where("special").select("node", F.col("n").alias("extra")), "whole")
         plain = second.where(F.col("df") <= HOT).join(small_side(state), "node").where("not special")
-        rows = rows.unionByName(plain.withColumns({"part": F.lit(1), "place": no}).select(*shape))
+        rows = rows.unionByName(plain.withColumns({"part": F.lit(1)} | blank).select(*shape))
         sets = materialize(prefix_rows(longer(whole), words, percent, whole=True).join(small_side(whole), "node").select("token", "node", F.col("extra").alias("n")), "whole-sets")
         rare = rare_first(sets, percent).withColumns({"part": F.lit(2), "small": F.lit(True), "special": F.lit(True), "h": no, "place": F.col("place").cast("long")})
         rows = rows.unionByName(rare.select(*shape))

@@ -254,3 +254,25 @@ def test_long_words_and_lines_are_not_mixed_up(spark, size):
     assert sorted(map(tuple, jaccard.jaccard_components(docs).collect())) == [(1, 1, 1), (2, 1, 2)]
     docs = spark.createDataFrame([(1, f"{one}\n{two}"), (2, f"{one}\n{one}")], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_dup_lines) for r in repetition.repetition_rules(docs).collect()) == [(1, 0), (2, 1)]
+
+
+def test_a_cloud_of_copies_around_a_text_that_is_not_there_makes_few_candidates(spark, monkeypatch):
+    """Each copy changes four words of a text of 150; hardly two of them are near enough to each other."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    rows = []
+    for i in range(250):
+        t = list(base)
+        for at in rng.sample(range(5, 145), rng.choice([1, 4, 4, 4, 4, 4, 4])):
+            t[at] = f"n{rng.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    made = []
+    plain = jaccard.cross_candidates
+    monkeypatch.setattr(jaccard, "cross_candidates", lambda *args: (made.append(plain(*args)), made[0])[1])
+    monkeypatch.setattr(jaccard, "leaders", lambda groups, sizes, percent: plain_leaders(groups, sizes, percent).where("u % 3 = 0"))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted(brute_components(rows))
+    assert made[0].count() < 0.15 * 250 * 249 / 2
+
+
+plain_leaders = jaccard.leaders
