@@ -2,8 +2,9 @@
 
 Archives are files below the shared folder, written and read by the tasks
 through the file system that the folder's URI names.  A file is written under
-a name of its own and then renamed, so a task that runs again leaves the same
-file and nothing half-written.
+a name of its own and then renamed, so nothing is half-written.  A task that
+runs again may get its rows in another order and cut them elsewhere, so every
+attempt names its archives anew, and the manifest names those that count.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ class AtomicFile:
 
     def close(self) -> None:
         self.out.close()
-        # a task that ran before has left the same file: some stores do not move onto it
+        # another run over the same source has left the same file: some stores do not move onto it
         if self.store.get_file_info(self.path).type == fs.FileType.File:
             self.store.delete_file(self.draft)
         else:
@@ -118,10 +119,14 @@ def with_revisits(pages: DataFrame, min_bytes: int = 1000) -> DataFrame:
 
 
 def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """Write ``rows`` of :func:`with_revisits` as archives that are one gzip stream each; (path, records)."""
+    """Write ``rows`` of :func:`with_revisits` as archives that are one gzip stream each; (path, records).
+
+    Only files of the returned rows, written as a table, count: a lost attempt
+    leaves others beside them.
+    """
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, files, out = TaskContext.get().partitionId(), 0, None
+        part, attempt, files, out = TaskContext.get().partitionId(), uuid.uuid4().hex[:16], 0, None
         raw = n = 0
 
         def finish() -> pd.DataFrame:
@@ -132,7 +137,7 @@ def write_archives(rows: DataFrame, folder: str, level: int = 1) -> DataFrame:
         for batch in batches:
             for r in batch.itertuples(index=False):
                 if out is None:
-                    path = f"{folder}/part-{part:06d}-{files:05d}.warc.gz"
+                    path = f"{folder}/part-{part:06d}-{files:05d}-{attempt}.warc.gz"
                     out, stream = AtomicFile(path), zlib.compressobj(level, zlib.DEFLATED, 31)
                     files, raw, n = files + 1, 0, 0
                 ids = [None if pd.isna(x) else int(x) for x in (r.page_id, r.refers_to)]

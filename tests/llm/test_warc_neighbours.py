@@ -4,7 +4,7 @@ import os
 
 import numpy as np
 import pytest
-from loomery.llm import neighbours, warc
+from loomery.llm import neighbours, shared, warc
 from pyspark.sql import functions as F
 
 
@@ -89,3 +89,14 @@ def test_large_group_of_equal_vectors(spark):
 def test_projections_are_unit_vectors(dim):
     p = neighbours.projections(dim, 64, 1)
     assert p.shape == (64, dim) and np.allclose((p * p).sum(axis=1), 1)
+
+
+def test_a_second_attempt_in_another_order_leaves_whole_archives(spark, tmp_path, monkeypatch):
+    rows = warc.with_revisits(spark.createDataFrame([(i, f"u{i}", f"{i} " * 300) for i in range(60)], "page_id long, url string, html string"))
+    folder = str(tmp_path / "archives")
+    lost = warc.write_archives(rows.coalesce(1).sortWithinPartitions("page_id"), folder)
+    assert lost.agg({"records": "sum"}).first()[0] == 60
+    kept = shared.materialize(warc.write_archives(rows.coalesce(1).sortWithinPartitions(F.desc("page_id")), folder), "second-attempt")
+    assert len(list((tmp_path / "archives").glob("*.warc.gz"))) == 2 * kept.count()
+    index = shared.materialize(warc.normalise(kept, str(tmp_path / "members")), "second-index")
+    assert sorted(r.page_id for r in warc.read_records(index).collect()) == list(range(60))
