@@ -38,9 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import shared
 from .components import connected_components
 from .kernels import shingle_sets
-from .shared import drop_materialized, materialize, small_side
+from .shared import drop_materialized, materialize
+
+#: Largest side of a join that is broadcast here: the operator has over a dozen such joins, which together must fit a small driver.
+SIDE_BYTES = 8 << 20
 
 #: Documents above which a shingle is hot, and shingles under which a crowded set is taken whole.
 HOT, FEW = 24, 16
@@ -53,6 +57,10 @@ MORE = 4
 MAPS = ("m0", "m1", "m2", "m3")
 
 
+def small_side(df: DataFrame) -> DataFrame:
+    return shared.small_side(df, SIDE_BYTES)
+
+
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     """Of n shingles, how many to take so that similar sets share one."""
     return n - -(-percent * n // 100) + 1

@@ -231,6 +231,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     all is kept; an empty table gives an empty result.
     """
     model = fit_quality(docs, labels, max_labelled, max_pool, rounds)
+    pa.default_memory_pool().release_unused()  # what the sample took; the driver needs it later
     added = ("text_score", "metadata_score", "quality_score", "kept")
     held = docs.sparkSession.sparkContext.broadcast(model)  # a bounded model
 
