@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import replies as R
-from .registry import QUERIES, ORACLES, table
+from ..functions import text as X
+from .registry import QUERIES, ORACLES, query, table
 
 Case = tuple[str, Sequence]
 
@@ -236,3 +237,21 @@ def score_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["score_threshold"], ORACLES["score_threshold"] = score_threshold, expected(SCORED, {"score": "BIGINT"}) + " WHERE score >= 3"
+
+
+@query(r"""SELECT doc_id, md5(CASE WHEN length(t) > 8000 THEN substr(t, 1, 4000) || chr(10) || '...' || chr(10) || right(t, 4000) ELSE t END) AS digest
+FROM (SELECT doc_id, trim(regexp_replace(regexp_replace('<think>' || coalesce(text, '') || '</think> <|im_start|>' || coalesce(text, ''), '(?s)<think>.*?</think>', '', 'g'), '<\|[^|>]*\|>', '', 'g'), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM documents)""")
+def spoken_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts behind a thought that holds them too: without the thought, marks, and the middle of long ones."""
+    text = F.coalesce("text", F.lit(""))
+    said = X.strip_thinking(F.concat(F.lit("<think>"), text, F.lit("</think> <|im_start|>"), text))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(X.middle_cut(said).cast("binary")).alias("digest"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 4.0 WHEN 1 THEN 2.0 WHEN 2 THEN 5.0 WHEN 3 THEN NULL ELSE 3.0 END AS score FROM events""")
+def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of judges' replies of five shapes around the events' own texts."""
+    i, props = F.col("event_id") % 5, F.regexp_replace("props", r"\d", "x")
+    fenced = F.concat(F.lit('```json\n{"score": 4, "why": "'), F.col("event_type"), F.lit('"}\n```'))
+    reply = F.when(i == 0, fenced).when(i == 1, F.concat(props, F.lit(" Score: 2 of many"))).when(i == 2, F.concat(props, F.lit(" a plain 5."))).when(i == 3, F.concat(props, F.lit(" 4 or 5"))).otherwise(F.concat(F.lit('{"score": 9} 점수 3 '), props))
+    return table(spark, sf_dir, "events").select("event_id", X.reply_score(reply).alias("score"))
