@@ -17,6 +17,14 @@ def bounded(rows: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
+def in_blocks(rows: DataFrame, most: int = BROADCAST_ROWS) -> list[DataFrame]:
+    """``rows`` dealt by hash into broadcast blocks of about ``most`` rows: a stated set meets a table block by block, never as a product of two shuffles."""
+    blocks = max(1, -(-rows.count() // most))
+    if blocks == 1:
+        return [F.broadcast(rows)]
+    return [F.broadcast(rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(blocks)) == i)) for i in range(blocks)]
+
+
 def numbered(rows: DataFrame, *order: Column) -> DataFrame:
     """Add ``place``, from 0, in ``order``: ranges are numbered each by itself and moved by the counts of those before.
 

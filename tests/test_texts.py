@@ -5,7 +5,7 @@ import time
 
 import pytest
 from loomery.functions import chunking, nouns, signals
-from loomery.operators import evaluate, search, textindex
+from loomery.operators import evaluate, routing, search, textindex
 from loomery.sources import readers, sinks
 from pyspark.sql import functions as F
 
@@ -137,3 +137,14 @@ def test_the_index_finds_what_a_scan_finds_and_skips_blocks(spark, tmp_path, mon
     assert plain(textindex.TextIndex(spark, f"{tmp_path}/index").topk(q, 2)) == plain(search.bm25_topk(d, q, 2))
     index.build(d.limit(0), "doc_id", "text")
     assert index.topk(q, 5).count() == 0
+
+
+def test_query_sets_of_several_blocks_give_the_same_rows(spark):
+    rng = random.Random(2)
+    rows = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(60)], "vec_id long, embedding array<float>")
+    plain = lambda df: sorted((r.query_id, r.rank, r.id, round(r.score, 6)) for r in df.collect())
+    assert plain(search.vector_topk(rows, rows, 4, block=7)) == plain(search.vector_topk(rows, rows, 4)) and len(plain(search.vector_topk(rows, rows, 4, block=7))) == 240
+    queries = spark.createDataFrame([(i, f"a word{i} here") for i in range(9)], "query_id long, query string")
+    skills = spark.createDataFrame([(f"s{i}", f"WORD{i}", i) for i in range(9)] + [("r", r"regex:word[3-5]", 50)], "skill string, trigger string, priority int")
+    found = lambda block: sorted(map(tuple, routing.match_skills(queries, skills, block=block).collect()))
+    assert found(3) == found(100) and len(found(3)) == 12
