@@ -1,14 +1,15 @@
 """Quality by co-training two views of a document: its text and its metadata.
 
-Each view has a logistic classifier.  In every round each view labels the
-documents of an unlabelled pool that it is surest of, and these join the
-training rows of the other view.  Both are then calibrated on held-out labels
-and joined by a logistic regression of the two calibrated scores.
+Each view has a logistic classifier.  In every round each view scores all
+documents without a label and labels those that it is surest of; these join
+the training rows of the other view.  Both are then calibrated on held-out
+labels and joined by a logistic regression of the two calibrated scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +19,19 @@ from pyspark.sql import types as T
 
 from .kernels import lower_ascii, mix64, prefix_hash, span_hash, text_slices, word_spans
 from .repetition import per_row, repeated
+from .shared import drop_materialized, materialize, small_side
 
 #: Hashed slots of each metadata text column, and of the words of a text.
 SLOTS, WORD_SLOTS = 64, 256
 #: Columns of the text view: its words and 15 measures of its making.
 TEXT_WIDTH = WORD_SLOTS + 15
 TEXT_COLUMNS = ("source", "lang")
+#: Columns of the metadata view: its text columns and two of the length.
+METADATA_WIDTH = len(TEXT_COLUMNS) * SLOTS + 2
 #: Rows that a Newton step standardises at once, so that a fit holds its sample once.
 FIT_ROWS = 1024
+#: Logit from which a view may label a document: a probability of 0.95.
+SURE = math.log(19)
 
 
 def text_view(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,31 +148,26 @@ class CoTrained:
         self.views, self.platt, self.joint = views, platt, joint
 
     @classmethod
-    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = 4, share: float = 0.05) -> CoTrained | None:
-        """``labelled`` and ``pool`` hold one matrix per view; None if a class is missing."""
+    def fit(cls, labelled: list[np.ndarray], y: np.ndarray, surest: Callable[[list[Logistic], float], list[tuple[list[np.ndarray], np.ndarray]]], rounds: int = 4) -> CoTrained | None:
+        """``labelled`` holds one matrix per view; None if a class is missing.
+
+        ``surest`` takes the classifiers of a round and the share of good
+        labels, and gives for each view the rows (one matrix per view) that it
+        labels and these labels.
+        """
         held = np.arange(len(y)) % 4 == 3
         if any(len(set(y[m])) < 2 for m in (held, ~held)):
             return None
         x = [[v[~held]] for v in labelled]
         t = [[y[~held].astype(np.float64)] for _ in labelled]
-        free = np.ones(len(pool[0]), dtype=bool)
         views = [Logistic.fit(x[v][0], t[v][0]) for v in (0, 1)]
-        good = float(y.mean())
         for _ in range(rounds):
-            if not free.any():
+            given = surest(views, float(y.mean()))
+            if not any(len(labels) for _, labels in given):
                 break
-            given = []
-            for v in (0, 1):
-                p = 1 / (1 + np.exp(-views[v].logit(pool[v])))
-                for wanted, sure, part in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                    take = np.flatnonzero(free & (sure >= 0.95))
-                    take = take[np.argsort(-sure[take], kind="stable")][: max(1, int(share * part * len(free)))]
-                    given.append((1 - v, take, wanted))
-            for other, take, wanted in given:
-                x[other].append(pool[other][take])
-                t[other].append(np.full(len(take), wanted))
-            for _, take, _ in given:
-                free[take] = False
+            for v, (rows, labels) in enumerate(given):
+                x[1 - v].append(rows[1 - v])
+                t[1 - v].append(labels)
             views = [Logistic.fit(np.vstack(x[v]), np.concatenate(t[v])) for v in (0, 1)]
         truth = y[held].astype(np.float64)
         platt = [Logistic.fit(views[v].logit(labelled[v][held])[:, None], truth) for v in (0, 1)]
@@ -188,39 +189,100 @@ def view_columns(docs: DataFrame) -> list[str]:
     return ["doc_id", "text", *(c for c in (*TEXT_COLUMNS, "n_chars") if c in docs.columns)]
 
 
-def view_rows(docs: DataFrame, label: str) -> DataFrame:
-    """(label, text_view, metadata_view) as arrays, for the bounded fitting samples."""
+def view_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, a, b): the text view and the metadata view of every row."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, meta = _both_views(batch)
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(np.float32))) for m in (text, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column(label), *lists], names=["doc_id", label, "a", "b"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel().astype(np.float32))) for m in _both_views(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "a", "b"])
+
+    return docs.select(*view_columns(docs)).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, a array<float>, b array<float>")
+
+
+def matrices(rows: pa.Table | pa.RecordBatch) -> list[np.ndarray]:
+    """The two views of rows (a, b) as matrices."""
+    columns = (rows.column(c) for c in ("a", "b"))
+    flat = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns)
+    return [c.flatten().to_numpy().reshape(rows.num_rows, width) for c, width in zip(flat, (TEXT_WIDTH, METADATA_WIDTH), strict=True)]
+
 
-    kinds = {c: docs.schema[c].dataType.simpleString() for c in ("doc_id", label)}
-    return docs.select(*view_columns(docs), label).mapInArrow(run, f"doc_id {kinds['doc_id']}, {label} {kinds[label]}, a array<float>, b array<float>")
+class Pool:
+    """All documents without a label.  Their views are written once; every round scores the whole of them in Spark.
 
+    ``views`` is (row, doc_id, a, b) and ``known`` (doc_id, ...) the labelled
+    ones, both written tables.  The driver sees only what a round adds:
+    ``pseudo`` rows a view.
+    """
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, max_pool: int = 8000, rounds: int = 4) -> CoTrained | None:
-    """Fit on at most ``max_labelled`` labelled and ``max_pool`` unlabelled documents, taken by hash of their ids."""
+    def __init__(self, views: DataFrame, known: DataFrame, pseudo: int):
+        self.views, self.known, self.pseudo = views, known, pseudo
+        self.taken: set[int] = set()
+
+    def logits(self, models: list[Logistic]) -> DataFrame:
+        """(row, doc_id, by_text, by_metadata) of the unlabelled rows."""
+        held = self.views.sparkSession.sparkContext.broadcast(models)  # two bounded models
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                scores = [pa.array(m.logit(x)) for m, x in zip(held.value, matrices(batch), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *scores], names=["row", "doc_id", "by_text", "by_metadata"])
+
+        kind = self.views.schema["doc_id"].dataType.simpleString()
+        scored = self.views.mapInArrow(run, f"row long, doc_id {kind}, by_text double, by_metadata double")
+        return scored.join(small_side(self.known.select("doc_id")), "doc_id", "left_anti")
+
+    def surest(self, models: list[Logistic], good: float) -> list[tuple[list[np.ndarray], np.ndarray]]:
+        """For each view, the rows that it is surest of, in the shares of the classes, and their labels.
+
+        Ties go by a hash of the doc_id; rows that an earlier round has used are passed over.
+        """
+        scored = materialize(self.logits(models), "sure")
+        asked = [(v, wanted, max(1, int(self.pseudo * part))) for v in (0, 1) for wanted, part in ((1, good), (0, 1 - good))]
+        lists = []
+        for v, wanted, n in asked:
+            sure = F.col(("by_text", "by_metadata")[v]) * (2 * wanted - 1)
+            best = scored.select("row", "doc_id", sure.alias("sure")).where(F.col("sure") >= SURE).orderBy(F.desc("sure"), F.xxhash64("doc_id"), "row").limit(n + len(self.taken))
+            # a list is bounded by what the rounds add in all
+            lists.append([r.row for r in best.collect() if r.row not in self.taken][:n])
+        drop_materialized(scored)
+        rows = sorted({r for each in lists for r in each})
+        self.taken.update(rows)
+        held = self.views.where(F.col("row").isin(rows)).select("row", "a", "b").toArrow()
+        both, ids = matrices(held), held.column("row").to_numpy()
+        order = np.argsort(ids)
+        at = [order[np.searchsorted(ids[order], np.array(each, dtype=np.int64))] for each in lists]
+        out = []
+        for v in (0, 1):
+            own = np.concatenate([at[2 * v], at[2 * v + 1]])
+            out.append(([m[own] for m in both], np.repeat([1.0, 0.0], [len(at[2 * v]), len(at[2 * v + 1])])))
+        return out
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, rounds: int = 4, pseudo: int = 400) -> CoTrained | None:
+    """Fit on at most ``max_labelled`` labelled rows, taken by hash of their ids, and the ``pseudo`` that each view adds in a round from all others."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+    known = materialize(known, "known")
+    if known.select("quality").distinct().count() < 2:
+        drop_materialized(known)
+        return None
+    views = materialize(view_rows(docs).withColumn("row", F.monotonically_increasing_id()), "views")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.orderBy(*by_hash).limit(max_labelled)
-    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    pool = ids.join(known, "doc_id", "left_anti").orderBy(*by_hash).limit(max_pool).withColumn("quality", F.lit(-1))
-    # both samples are bounded, two numbers a row
-    sample = docs.select(*view_columns(docs)).join(F.broadcast(chosen.unionByName(pool)), "doc_id")
-    rows = view_rows(sample, "quality").toArrow().combine_chunks()
-    if not len(rows):
-        return None
-    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    order = order[np.random.default_rng(0).permutation(len(order))]
-    y = rows["quality"].to_numpy()[order]
-    views = [rows[c].combine_chunks().flatten().to_numpy().reshape(len(rows), -1) for c in ("a", "b")]
-    return CoTrained.fit([v[order[y >= 0]] for v in views], y[y >= 0], [v[order[y < 0]] for v in views], rounds)
-
-
-def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 8000, max_pool: int = 8000, rounds: int = 4) -> DataFrame:
+    # both sides are bounded by max_labelled, two numbers a row
+    picked = views.select("row", "doc_id").join(F.broadcast(chosen), "doc_id").orderBy(*by_hash, "row").limit(max_labelled).select("row", "quality")
+    sample = views.join(F.broadcast(picked), "row").select("row", "doc_id", "a", "b", "quality").toArrow()
+    sample = sample.sort_by([("doc_id", "ascending"), ("row", "ascending")])
+    order = np.random.default_rng(0).permutation(sample.num_rows)
+    y = sample.column("quality").to_numpy()[order]
+    labelled = [m[order] for m in matrices(sample)]
+    del sample
+    model = CoTrained.fit(labelled, y, Pool(views, known, pseudo).surest, rounds)
+    drop_materialized(views, known)
+    return model
+
+
+def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_labelled: int = 8000, rounds: int = 4, pseudo: int = 400) -> DataFrame:
     """Every row of ``docs`` with text_score, metadata_score, quality_score and kept.
 
     ``kept`` is false where the joint probability of good quality is under
@@ -230,7 +292,7 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5,
     worst counts.  Without labels of both kinds every score is one half and
     all is kept; an empty table gives an empty result.
     """
-    model = fit_quality(docs, labels, max_labelled, max_pool, rounds)
+    model = fit_quality(docs, labels, max_labelled, rounds, pseudo)
     pa.default_memory_pool().release_unused()  # what the sample took; the driver needs it later
     added = ("text_score", "metadata_score", "quality_score", "kept")
     held = docs.sparkSession.sparkContext.broadcast(model)  # a bounded model

@@ -1,9 +1,11 @@
 import random
 import re
 
+import numpy as np
 import pyarrow as pa
 from loomery.llm import quality, repetition, toxicity
 from loomery.llm.kernels import shingle_sets, text_slices
+from loomery.llm.shared import materialize
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -147,3 +149,38 @@ def test_words_alone_tell_the_text_view_what_is_good(spark):
     out = [r for r in quality.classify_quality(docs, labels).collect() if r.doc_id >= 600]
     assert sum(r.kept == bool(r.doc_id % 2) for r in out) / len(out) > 0.97
     assert sum((r.text_score >= 0.5) == bool(r.doc_id % 2) for r in out) / len(out) > 0.97
+
+
+def test_every_unlabelled_document_can_be_the_surest(spark):
+    rng = np.random.default_rng(3)
+    n, known = 500, 60
+    a, b = rng.normal(size=(n, quality.TEXT_WIDTH)).astype(np.float32), rng.normal(size=(n, quality.METADATA_WIDTH)).astype(np.float32)
+    a[490], a[491] = a[480], a[480]
+    ids = [None if i in (100, 101) else i // 2 * 2 if 200 <= i < 204 else i for i in range(n)]
+    rows = [(i, ids[i], a[i].tolist(), b[i].tolist()) for i in range(n)]
+    views = materialize(spark.createDataFrame(rows, "row long, doc_id long, a array<float>, b array<float>"), "views")
+    labelled = materialize(spark.createDataFrame([(i, i % 2) for i in range(known)], "doc_id long, quality int"), "known")
+    models = [quality.Logistic(np.zeros(m.shape[1]), np.ones(m.shape[1]), rng.normal(size=m.shape[1] + 1)) for m in (a, b)]
+    pool = quality.Pool(views, labelled, 20)
+    seen = set()
+    for _ in range(3):
+        given = pool.surest(models, 0.7)
+        for v, (matrix, (both, targets)) in enumerate(zip((a, b), given, strict=True)):
+            logit = models[v].logit(matrix)
+            for wanted, size in ((1, 14), (0, 6)):
+                sure = logit * (2 * wanted - 1)
+                free = [i for i in range(n) if (ids[i] is None or ids[i] >= known) and i not in seen and sure[i] >= quality.SURE]
+                want = sorted(sure[free], reverse=True)[:size]
+                got = both[v][targets == wanted]
+                assert np.allclose(sorted(models[v].logit(got) * (2 * wanted - 1), reverse=True), want) and len(want) == size
+        assert pool.taken > seen
+        seen = set(pool.taken)
+    assert not seen & set(range(known))
+
+
+def test_a_hot_labelled_id_stays_within_the_fitting_bound(spark):
+    rows = [(0 if i < 400 else i, "good words here " * 9 if i % 2 else "Dull!! ## dull " * 9) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), *((i, i % 2) for i in range(400, 600))], "doc_id long, quality int")
+    out = quality.classify_quality(docs, labels, max_labelled=150).collect()
+    assert len(out) == 700 and all(r.kept is not None for r in out)
