@@ -28,7 +28,8 @@ def with_lineage(chunks: DataFrame) -> DataFrame:
 def coverage_sample(rows: DataFrame, n: int, group: str, order: str) -> DataFrame:
     """At most ``n`` rows: the first of every group, then the second ones, and so on."""
     turn = F.row_number().over(W.partitionBy(group).orderBy(order))
-    return rows.withColumn("turn", turn.cast("long")).orderBy("turn", order, group).limit(n)
+    # the bound on a group's turns lets each task drop the rest before rows are exchanged; a later turn could not be among the n
+    return rows.withColumn("turn", turn).where(F.col("turn") <= n).withColumn("turn", F.col("turn").cast("long")).orderBy("turn", order, group).limit(n)
 
 
 def every_nth(rows: DataFrame, n: int, order: str) -> DataFrame:

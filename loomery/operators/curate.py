@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import REJECT_PATTERNS, bigram_overlap, bigrams, question_type, strip
 
+#: Turns that one conversation may have before its places meet the next one's.
+TURNS = 1 << 32
+
 
 def qa_pairs(turns: DataFrame) -> DataFrame:
     """(pos, source_doc, question, answer): each user turn with the assistant turn right after it."""
     own = W.partitionBy("conv_id").orderBy("turn")
     seen = turns.withColumns({"next_role": F.lead("role").over(own), "answer": F.lead("text").over(own)})
     pairs = seen.where("role = 'user' and next_role = 'assistant'")
-    return pairs.select((F.col("conv_id") * 10_000 + F.col("turn")).alias("pos"), F.col("conv_id").cast("string").alias("source_doc"), F.col("text").alias("question"), "answer")
+    return pairs.select((F.col("conv_id").cast("long") * TURNS + F.col("turn")).alias("pos"), F.col("conv_id").cast("string").alias("source_doc"), F.col("text").alias("question"), "answer")
 
 
 def validate(pairs: DataFrame, least: int = 20, most: int = 2000, patterns: tuple[str, ...] = REJECT_PATTERNS) -> DataFrame:
@@ -100,6 +106,36 @@ def chat_messages(pairs: DataFrame, system: str | None = None) -> DataFrame:
     return pairs.select("pos", F.to_json(F.array(*turns)).alias("messages"))
 
 
+def token_count(text: Column, vocabulary: str) -> Column:
+    """How many ids a tokenizer file gives a text, marks of its own included; null texts have none.
+
+    ``vocabulary`` is the file's content, a few megabytes whatever the data
+    are; every Python worker reads it once, texts come in Arrow batches.
+    """
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(vocabulary)
+        for texts in batches:
+            yield pd.Series([len(e.ids) for e in own.encode_batch_fast(texts.fillna("").tolist())], dtype="int64")
+
+    return run(text)
+
+
+def fitting(rows: DataFrame, text: str, vocabulary: str, most: int) -> DataFrame:
+    """Rows whose ``text`` has at most ``most`` tokens, with ``n_tokens``; null and longer texts are left out, none is cut."""
+    counted = rows.where(F.col(text).isNotNull()).withColumn("n_tokens", token_count(F.col(text), vocabulary))
+    return counted.where(F.col("n_tokens") <= most)
+
+
+def in_batches(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
+    """Add ``batch``, from 0: every ``size`` rows of a group in ``order``."""
+    place = F.row_number().over(W.partitionBy(group).orderBy(order)) - 1
+    return rows.withColumn("batch", F.floor(place / size).cast("long"))
+
+
 def split_prompt(rows: DataFrame, text: str, marker: str) -> DataFrame:
     """Add prompt and completion: what ends with the last marker, and what follows; all is completion without one."""
     has = F.contains(F.col(text), F.lit(marker))

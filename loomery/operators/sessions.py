@@ -47,7 +47,10 @@ def compressed(turns: DataFrame, after: int, target: int = 500, key: str = "conv
     seen = turns.withColumns({"n": F.count("*").over(own), "back": back})
     long = F.col("n") > 2 * after
     kept = seen.where(~long | (F.col("back") <= after)).select(key, order, "role", "text")
-    old = transcript(seen.where(long & (F.col("back") > after)), key, order)
+    # turns that begin beyond the summary's length are left out before a transcript is gathered; a label and its colon count as one
+    size = F.length(F.coalesce("text", F.lit(""))) + 1
+    begins = F.coalesce(F.sum(size).over(own.orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    old = transcript(seen.withColumn("begins", begins).where(long & (F.col("back") > after) & (F.col("begins") < target)), key, order)
     return kept.unionByName(old.select(key, F.lit(-1).cast("long").alias(order), F.lit("system").alias("role"), F.substring("transcript", 1, target).alias("text")))
 
 

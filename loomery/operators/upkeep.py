@@ -44,10 +44,11 @@ def name_versions(runs: DataFrame) -> DataFrame:
 def retained_versions(versions: DataFrame, keep: int = 3) -> DataFrame:
     """Versions that stay: the last ``keep`` promoted, the current one, and the others only while the promoted are within ``keep``.
 
-    ``versions`` is a short history (run_id, promoted, current).
+    ``versions`` has run_id (unique), promoted and current.  Only counts and
+    the ``keep`` latest promoted runs are brought together.
     """
-    nth = F.row_number().over(W.partitionBy("promoted").orderBy(F.desc("run_id")))
-    total = versions.agg(F.count_if("promoted").alias("n_promoted"))
-    seen = versions.withColumn("nth", nth).crossJoin(F.broadcast(total))
-    stays = F.col("current") | (F.col("n_promoted") <= keep) | (F.col("promoted") & (F.col("nth") <= keep))
-    return seen.where(stays).drop("nth", "n_promoted")
+    latest = versions.where("promoted").orderBy(F.desc("run_id")).limit(keep).agg(F.min("run_id").alias("least"))
+    total = versions.agg(F.count_if("promoted").alias("n_promoted")).crossJoin(latest)
+    stays = F.col("current") | (F.col("n_promoted") <= keep) | (F.col("promoted") & (F.col("run_id") >= F.col("least")))
+    # one row
+    return versions.crossJoin(F.broadcast(total)).where(stays).drop("least", "n_promoted")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import blocks, corpus, curation, evaluation, replies, requests, retrieval, sections, signals, streams, upkeep  # noqa: F401  they register their queries
+from . import blocks, corpus, curation, evaluation, prompts, replies, requests, retrieval, sections, signals, streams, upkeep  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 

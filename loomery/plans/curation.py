@@ -9,7 +9,7 @@ from ..functions.text import bigram_overlap, question_type
 from ..operators import curate as Q
 from .registry import query, table
 
-PAIRS = """pairs AS (SELECT conv_id * 10000 + turn AS pos, CAST(conv_id AS VARCHAR) AS source_doc, text AS question, answer FROM (
+PAIRS = """pairs AS (SELECT conv_id * 4294967296 + turn AS pos, CAST(conv_id AS VARCHAR) AS source_doc, text AS question, answer FROM (
   SELECT *, lead(role) OVER w AS next_role, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND next_role = 'assistant')"""
 BIGRAMS = "(SELECT question, substr(t, i, 2) AS g FROM (SELECT question, lower(replace(question, ' ', '')) AS t FROM pairs), unnest(range(1, length(t))) AS u(i))"
 TYPES = """CASE WHEN q LIKE 'what %' THEN 'what' WHEN q LIKE 'how %' THEN 'how' WHEN q LIKE 'why %' THEN 'why' WHEN q LIKE 'when %' THEN 'when' WHEN q LIKE 'where %' THEN 'where'

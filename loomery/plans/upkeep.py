@@ -9,7 +9,7 @@ from ..operators import upkeep as U
 from .curation import PAIRS, pairs
 from .registry import query, table
 
-NEW = "new AS (SELECT pos, source_doc, question, answer || ' (new)' AS answer FROM pairs WHERE CAST(source_doc AS BIGINT) % 2 = 1 AND pos % 10000 < 4)"
+NEW = "new AS (SELECT pos, source_doc, question, answer || ' (new)' AS answer FROM pairs WHERE CAST(source_doc AS BIGINT) % 2 = 1 AND pos % 4294967296 < 4)"
 
 
 @query("""WITH now AS (SELECT CAST(doc_id AS VARCHAR) AS name, sha256(coalesce(text, '')) AS h FROM documents WHERE doc_id % 9 <> 0),
@@ -22,7 +22,7 @@ def hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def newer(rows: DataFrame) -> DataFrame:
-    return rows.where("cast(source_doc as bigint) % 2 = 1 and pos % 10000 < 4").withColumn("answer", F.concat("answer", F.lit(" (new)")))
+    return rows.where("cast(source_doc as bigint) % 2 = 1 and pos % 4294967296 < 4").withColumn("answer", F.concat("answer", F.lit(" (new)")))
 
 
 @query(f"""WITH {PAIRS}, {NEW}, a AS (SELECT *, 0 AS side FROM new UNION ALL SELECT *, 1 FROM pairs)
