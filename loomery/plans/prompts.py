@@ -14,7 +14,7 @@ from .registry import query, table
 NL = "chr(10)"
 BLANK = "' ' || chr(9) || chr(10) || chr(13)"
 #: Pairs that one prompt has scored, and the tokens that a training row may have.
-BATCH, MOST_TOKENS = 5, 64
+BATCH, MOST_TOKENS = 5, 512
 
 
 def quoted(text: str) -> str:

@@ -6,6 +6,7 @@ import pytest
 from loomery.functions import prompts as P
 from loomery.operators import corpus, curate, sessions, upkeep
 from loomery.operators.hooks import POST_SEARCH, POST_SYNTHESIS, PRE_QUERY, Hooks, on_column, on_values
+from loomery.plans import catalog
 from loomery.plans.prompts import vocabulary
 from pyspark.sql import functions as F
 
@@ -140,3 +141,13 @@ def test_samples_take_turns_over_groups(spark):
     got = [(r.i, r.g) for r in corpus.coverage_sample(spark.createDataFrame(rows, "i long, g string"), 9, "g", "i").collect()]
     turns = [(k, i, g) for g in "abcd" for k, i in enumerate(sorted(i for i, h in rows if h == g), 1)]
     assert got == [(i, g) for _, i, g in sorted(turns)[:9]]
+
+
+def test_the_query_of_token_limits_takes_some_rows_and_leaves_some(spark, data):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_str(vocabulary())
+    chats = curate.chat_messages(curate.qa_pairs(spark.read.parquet(f"{data}/conversations.parquet")), "Answer briefly.").collect()
+    sizes = {r.pos: len(own.encode(r.messages).ids) for r in chats}
+    got = {r.pos: r.n_tokens for r in catalog.queries()["token_limit"](spark, data).collect()}
+    assert got == {pos: n for pos, n in sizes.items() if n <= 512} and 0 < len(got) < len(sizes)
