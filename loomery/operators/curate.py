@@ -50,6 +50,19 @@ def paraphrase_filter(variants: DataFrame, least: float = 0.3, keep: int = 2) ->
     return good.withColumn("nth", F.row_number().over(W.partitionBy("question").orderBy("place"))).where(F.col("nth") <= keep).drop("nth")
 
 
+def augmented(pairs: DataFrame, variants: DataFrame) -> DataFrame:
+    """All ``pairs`` and, for each that is no augmentation itself, its ``variants`` (pos, variant) as pairs of their own.
+
+    A new pair keeps everything of its pair but the question and the
+    instruction, which are the variant, and ``is_augmented``.  Null
+    ``is_augmented`` counts as false; variants of unknown pairs, null
+    variants and variants of a null ``pos`` add nothing.
+    """
+    new = {"question": F.col("variant"), "instruction": F.col("variant"), "is_augmented": F.lit(True)}
+    own = pairs.where(~F.coalesce("is_augmented", F.lit(False))).join(variants.where("variant is not null").select("pos", "variant"), "pos")
+    return pairs.unionByName(own.select(*(new.get(c, F.col(c)).alias(c) for c in pairs.columns)))
+
+
 def length_stats(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """One row of min, max, mean, median and sample deviation for each named text column."""
     parts = []

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import char_ngrams, stem_key, tokens, word_ngrams
+from ..functions.text import char_ngrams, difficulty, stem_key, tokens, word_ngrams
+from .ranks import numbered
 
 #: Phrases of refusals and of out-of-domain answers.
 REFUSALS = ("해당 정보는 제공된 문서에 포함", "관련 정보를 찾을 수 없", "확인할 수 없", "제공된 문서에서 찾을 수 없")
@@ -86,6 +87,56 @@ def failure(r: DataFrame) -> DataFrame:
     return r.withColumn("failure", kind)
 
 
+def run_summary(r: DataFrame) -> DataFrame:
+    """One row for each ``label`` of runs: how many failed, found what was expected, and the mean times.
+
+    ``r`` has label, failure, expected_found, first_token and total (seconds).
+    A run without a token or without a total counts with no time at all;
+    an unknown ``expected_found`` counts as not found.  No runs, no rows.
+    """
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 3)
+    return r.groupBy("label").agg(
+        F.count("*").alias("n_runs"), F.count_if(F.col("failure") != "none").alias("n_failures"), F.count_if("expected_found").alias("n_expected"),
+        mean("first_token").alias("avg_first_token"), mean("total").alias("avg_total"),
+    )
+
+
+def stream_speed(traces: DataFrame) -> DataFrame:
+    """Add n_chars and chars_per_sec to the rows of :func:`request_trace`.
+
+    Speed counts from the first token, over a thousandth of a second at
+    least; an answer without a token has none (0).
+    """
+    n = F.length(F.coalesce("answer", F.lit(""))).cast("long")
+    span = F.greatest(F.col("total") - F.col("first_token"), F.lit(0.001))
+    return traces.withColumn("n_chars", n).withColumn("chars_per_sec", F.coalesce(F.round(n / span, 1), F.lit(0.0)))
+
+
+def stream_summary(traces: DataFrame) -> DataFrame:
+    """One row: requests, mean time to the first token (none counts 0), mean total, mean speed; all null but ``n`` without requests."""
+    mean = lambda c, digits: F.round(F.avg(F.coalesce(c, F.lit(0.0))), digits)
+    return stream_speed(traces).agg(F.count("*").alias("n"), mean("first_token", 3).alias("avg_first_token"), mean("total", 3).alias("avg_total"), mean("chars_per_sec", 1).alias("avg_chars_per_sec"))
+
+
+def evaluation_set(rows: DataFrame, domains: Sequence[str], prefix: str, order: str = "pos") -> DataFrame:
+    """Rows (domain, question, answer, source_doc, ``order``) of the wanted domains as an evaluation set.
+
+    Returns id, intent, query, expected, expected_doc, domain, difficulty.
+    Ids count from 1 within a domain in the order of ``order``; rows of the
+    same order take any of their places.  Places come from ranges of the whole
+    table, so that a domain with most rows is no single task; only the first
+    place of each domain, at most one a wanted name, is broadcast.  A null
+    answer is easy; rows without a domain are left out.
+    """
+    placed = numbered(rows.where(F.col("domain").isin(list(domains))), F.col("domain"), F.col(order))
+    first = placed.groupBy("domain").agg(F.min("place").alias("first"))
+    slug = F.regexp_replace(F.lower("domain"), "[^a-z0-9]+", "")
+    return placed.join(F.broadcast(first), "domain").select(
+        F.format_string(f"{prefix.replace('%', '%%')}_%s_%03d", slug, F.col("place") - F.col("first") + 1).alias("id"), F.lit("qa").alias("intent"), F.col("question").alias("query"),
+        F.col("answer").alias("expected"), F.col("source_doc").alias("expected_doc"), "domain", difficulty(F.coalesce("answer", F.lit(""))).alias("difficulty"),
+    )
+
+
 def judge_rates(verdicts: DataFrame) -> DataFrame:
     """One row: shares of PASS, PARTIAL and FAIL in percent; control items do not count."""
     rows = verdicts.where(~F.startswith("kind", F.lit("control")))

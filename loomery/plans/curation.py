@@ -147,3 +147,15 @@ def paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.array(F.concat(F.lit("Say: "), q), F.reverse(q), F.substr(q, F.lit(1), F.floor(F.length(q) / 2).cast("int")), F.concat(q, F.lit("?")))
     variants = pairs(spark, sf_dir).where("question is not null").select("question", F.posexplode(made).alias("place", "variant")).distinct()
     return Q.paraphrase_filter(variants).select("question", F.col("place").cast("long").alias("place"), "variant")
+
+
+@query(f"""WITH {PAIRS}, p AS (SELECT *, question AS instruction, pos % 5 = 0 AS is_augmented FROM pairs),
+v AS (SELECT pos, 'Say: ' || question AS variant FROM pairs UNION ALL SELECT pos, question || '?' FROM pairs WHERE pos % 3 = 0)
+SELECT pos, source_doc, question, answer, instruction, is_augmented FROM p
+UNION ALL SELECT pos, source_doc, variant, answer, variant, true FROM p JOIN v USING (pos) WHERE NOT is_augmented AND variant IS NOT NULL""")
+def augmented_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with one or two variants; each fifth is an augmentation already and gets none."""
+    rows = pairs(spark, sf_dir).select("pos", "source_doc", "question", "answer", F.col("question").alias("instruction"), (F.col("pos") % 5 == 0).alias("is_augmented"))
+    told = rows.select("pos", F.concat(F.lit("Say: "), "question").alias("variant"))
+    asked = rows.where("pos % 3 = 0").select("pos", F.concat("question", F.lit("?")).alias("variant"))
+    return Q.augmented(rows, told.unionByName(asked))

@@ -145,3 +145,39 @@ def judge_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {PAIRS} SELECT CASE WHEN length(answer) < 50 THEN 'easy' WHEN length(answer) < 200 THEN 'medium' ELSE 'hard' END AS difficulty, count(*) AS n FROM pairs GROUP BY 1")
 def difficulty_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).groupBy(difficulty(F.col("answer")).alias("difficulty")).agg(F.count("*").alias("n"))
+
+
+FAILURES = """CASE WHEN contains(error, 'timeout') THEN 'timeout' WHEN error IS NOT NULL THEN 'http_error' WHEN clarification IS NOT NULL AND length(answer) = 0 THEN 'clarification_loop'
+  WHEN length(answer) < 10 THEN 'empty_answer' WHEN verdict = 'FAIL' THEN 'verifier_fail' WHEN warning IS NOT NULL THEN 'citation_miss' WHEN contains(answer, '관련 정보를 찾을 수 없') AND expected_found THEN 'wrongful_refusal' ELSE 'none' END"""
+
+
+@query(f"""WITH {RUNS}, t AS (SELECT event_id, event_type AS label, CASE WHEN event_id % 11 <> 0 THEN (event_id % 8) / 4 END AS first_token, (event_id % 64) / 4 AS total FROM events)
+SELECT label, count(*) AS n_runs, count(*) FILTER ({FAILURES} <> 'none') AS n_failures, count(*) FILTER (expected_found) AS n_expected,
+  round(avg(coalesce(first_token, 0.0)), 3) AS avg_first_token, round(avg(total), 3) AS avg_total FROM r JOIN t USING (event_id) GROUP BY label""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of the events, labelled by their kind; those that time out have no first token."""
+    i = F.col("event_id")
+    times = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("label"), F.when(i % 11 != 0, i % 8 / 4).alias("first_token"), (i % 64 / 4).alias("total"))
+    return E.run_summary(E.failure(runs(spark, sf_dir)).join(times, "event_id"))
+
+
+@query("""WITH e AS (SELECT event_id // 25 AS request, event_id % 25 AS seq, event_type, CASE event_id % 25 WHEN 22 THEN 'done' WHEN 0 THEN 'route' ELSE CASE WHEN (event_id // 25) % 7 = 0 THEN 'action' ELSE 'token' END END AS type FROM events),
+t AS (SELECT request, min(seq / 8) FILTER (type = 'token') AS f, max(seq / 8) AS z, coalesce(sum(length(event_type)) FILTER (type = 'token'), 0) AS n FROM e WHERE seq <= 22 GROUP BY request)
+SELECT count(*) AS n, round(avg(coalesce(f, 0.0)), 3) AS avg_first_token, round(avg(z), 3) AS avg_total, round(avg(coalesce(round(n / greatest(z - f, 0.001), 1), 0.0)), 1) AS avg_chars_per_sec FROM t""")
+def stream_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event streams of 25 events each, of which those after ``done`` do not count; every seventh has no token."""
+    request, seq = F.floor(F.col("event_id") / 25), F.col("event_id") % 25
+    kind = F.when(seq == 22, "done").when(seq == 0, "route").when(request % 7 == 0, "action").otherwise("token")
+    rows = table(spark, sf_dir, "events").select(request.alias("request"), seq.alias("seq"), (seq / 8).alias("seconds"), kind.alias("type"), F.col("event_type").alias("content"))
+    return E.stream_summary(E.request_trace(rows))
+
+
+@query(f"""WITH {PAIRS}, d AS (SELECT *, CASE pos % 5 WHEN 0 THEN 'Finance' WHEN 1 THEN 'public sector' WHEN 2 THEN 'Law & Order' WHEN 3 THEN 'commerce' END AS domain FROM pairs)
+SELECT 'bench_' || regexp_replace(lower(domain), '[^a-z0-9]+', '', 'g') || '_' || printf('%03d', row_number() OVER (PARTITION BY domain ORDER BY pos)) AS id, 'qa' AS intent, question AS query, answer AS expected,
+  source_doc AS expected_doc, domain, CASE WHEN length(coalesce(answer, '')) < 50 THEN 'easy' WHEN length(coalesce(answer, '')) < 200 THEN 'medium' ELSE 'hard' END AS difficulty
+FROM d WHERE domain IN ('Finance', 'public sector', 'Law & Order')""")
+def evaluation_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs, dealt to four domains and none, of which three are wanted."""
+    part = F.col("pos") % 5
+    named = F.when(part == 0, "Finance").when(part == 1, "public sector").when(part == 2, "Law & Order").when(part == 3, "commerce")
+    return E.evaluation_set(pairs(spark, sf_dir).withColumn("domain", named), ("Finance", "public sector", "Law & Order"), "bench")
