@@ -22,6 +22,9 @@ HEADINGS = (
     r"(?m)^[□■○●◦]\s+.+",
 )
 MERGE_BELOW, DROP_BELOW = 500, 200
+#: Unicode's spaces, which SQL's trim takes off, and all that comes off the edges of a piece.
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+EDGES = SPACES + "\t\n\x0b\x0c\r"
 #: Characters of a title and of a parent section.
 TITLE_CHARS, PARENT_CHARS = 60, 12_000
 
@@ -74,7 +77,7 @@ def _pieces(text: str, size: int) -> list[str]:
 
 def _cut_at(text: str, at: list[int]) -> list[str]:
     edges = [*at, len(text)]
-    return [text[a:b].strip() for a, b in zip(edges, edges[1:], strict=False)]
+    return [text[a:b].strip(EDGES) for a, b in zip(edges, edges[1:], strict=False)]
 
 
 def _headed(text: str, least: int) -> list[int]:
@@ -97,7 +100,12 @@ def _gather(parts: list[str], size: int) -> list[str]:
 
 
 def section_chunks(text: str, size: int) -> list[str]:
-    """Chunks along the headings of the largest level found three times or more.
+    """The chunks of :func:`headed_chunks`."""
+    return [chunk for chunk, _ in headed_chunks(text, size)]
+
+
+def headed_chunks(text: str, size: int) -> list[tuple[str, bool]]:
+    """(chunk, whether it begins where a section does) along the headings of the largest level found three times or more.
 
     Small sections wait in a buffer that takes in what follows while it
     fits.  A full buffer is emitted; the section that did not fit starts the
@@ -105,8 +113,8 @@ def section_chunks(text: str, size: int) -> list[str]:
     """
     at = _headed(text, 3)
     if not at:
-        return _pieces(text, size)
-    parts = [p for p in ([text[: at[0]].strip()] + _cut_at(text, at)) if p]
+        return [(p, False) for p in _pieces(text, size)]
+    parts = [p for p in ([text[: at[0]].strip(EDGES)] + _cut_at(text, at)) if p]
     merged: list[str] = []
     held = ""
     for part in parts:
@@ -125,23 +133,23 @@ def section_chunks(text: str, size: int) -> list[str]:
     elif held:
         merged.append(held)
     out = [piece for part in merged for piece in _within(part, size)]
-    return [p for p in out if len(p.strip()) >= DROP_BELOW] or _pieces(text, size)
+    return [p for p in out if len(p[0].strip(EDGES)) >= DROP_BELOW] or [(p, k == 0) for k, p in enumerate(_pieces(text, size))]
 
 
-def _within(part: str, size: int) -> list[str]:
-    """A section as it is if it fits, else along its inner headings, else in plain pieces."""
+def _within(part: str, size: int) -> list[tuple[str, bool]]:
+    """A section as it is if it fits, else along its inner headings, else in plain pieces, of which only the first begins where the section does."""
     if len(part) <= size:
-        return [part]
+        return [(part, True)]
     inner = _headed(part, 2)
-    out: list[str] = []
+    out: list[tuple[str, bool]] = []
     for piece in _gather(_cut_at(part, inner), size) if inner else [part]:
-        out += [piece] if len(piece) <= size else _pieces(piece, size)
+        out += [(piece, True)] if len(piece) <= size else [(p, k == 0) for k, p in enumerate(_pieces(piece, size))]
     return out
 
 
 def _title(text: str) -> str:
     """The heading that a text opens with, if it does."""
-    line = text.strip().split("\n", 1)[0].strip()
+    line = text.strip(EDGES).split("\n", 1)[0].strip(EDGES)
     return line[:TITLE_CHARS] if any(re.match(p, line) for p in HEADINGS) else ""
 
 
@@ -156,12 +164,12 @@ def context_chunks(text: str, size: int) -> list[tuple[str, str, str, str]]:
     """
     at = _headed(text, 3)
     found = []
-    for k, section in enumerate(p for p in [text[: at[0]].strip(), *_cut_at(text, at)] if p) if at else ():
+    for k, section in enumerate(p for p in [text[: at[0]].strip(EDGES), *_cut_at(text, at)] if p) if at else ():
         major = _title(section)
-        for i, piece in enumerate(_within(section, size)):
-            if len(piece.strip()) < DROP_BELOW:
+        for i, (piece, opens) in enumerate(_within(section, size)):
+            if len(piece.strip(EDGES)) < DROP_BELOW:
                 continue
-            minor = _title(piece)
+            minor = _title(piece) if opens else ""
             names = [major, minor] if minor not in ("", major) else [major]
             found.append((f"section_{k}_chunk_{i}", f"[{' > '.join(names)}]" if major else "", section[:PARENT_CHARS], piece))
     return found or [(f"chunk_{i}", "", c, c) for i, c in enumerate(section_chunks(text, size))]
@@ -176,26 +184,21 @@ def chunk_with_context(docs: DataFrame, size: int = 2000, id_col: str = "doc_id"
             yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "chunk_id", "context", "parent", "contents"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(r"(?U)\S")))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(f"[^{EDGES}]")))
     return rows.mapInPandas(run, f"{id_col} {kind}, chunk_index long, chunk_id string, context string, parent string, contents string")
 
 
 def chunk_sections(docs: DataFrame, size: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, chunk_index, contents, title): section-aware chunks; title is the heading that a chunk opens with."""
+    """(doc_id, chunk_index, contents, title): section-aware chunks; title is the heading that a chunk opens with, of a section or of one within it."""
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(d, k, c) for d, t in zip(batch[id_col], batch["text"], strict=True) for k, c in enumerate(section_chunks(t, size))]
-            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "contents"])
+            rows = [(d, k, c, _title(c) or None if opens else None) for d, t in zip(batch[id_col], batch["text"], strict=True) for k, (c, opens) in enumerate(headed_chunks(t, size))]
+            yield pd.DataFrame(rows, columns=[id_col, "chunk_index", "contents", "title"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(r"(?U)\S")))
-    out = rows.mapInPandas(run, f"{id_col} {kind}, chunk_index long, contents string")
-    line = F.split_part(F.col("contents"), F.lit("\n"), F.lit(1))
-    heading = F.lit(False)
-    for pattern in HEADINGS:
-        heading = heading | F.regexp_like(line, F.lit(pattern))
-    return out.withColumn("title", F.when(heading, F.substring(line, 1, 60)))
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).where(F.regexp_like("text", F.lit(f"[^{EDGES}]")))
+    return rows.mapInPandas(run, f"{id_col} {kind}, chunk_index long, contents string, title string")
 
 
 def auto_chunk_size(text: Column, context: int = 12_000) -> Column:

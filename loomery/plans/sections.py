@@ -21,11 +21,11 @@ NL = "chr(10)"
 
 def line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, t): every document's whole text as one line."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " ")).alias("t"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.regexp_replace("text", r"[\x09-\x0D\x20]+", " "), F.lit(C.SPACES)).alias("t"))
 
 
 def cut(a: int, n: int | None = None) -> Column:
-    return F.rtrim(F.substr("t", F.lit(a)) if n is None else F.substr("t", F.lit(a), F.lit(n)))
+    return F.rtrim(F.substr("t", F.lit(a)) if n is None else F.substr("t", F.lit(a), F.lit(n)), F.lit(C.SPACES))
 
 
 def mark(which: int) -> Column:
