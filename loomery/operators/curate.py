@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import REJECT_PATTERNS, bigram_overlap, bigrams, question_type, strip
+from .products import largest
 
 #: Turns that one conversation may have before its places meet the next one's.
 TURNS = 1 << 32
@@ -168,8 +169,5 @@ def grounded(pairs: DataFrame, sources: DataFrame, least: float = 0.3) -> DataFr
     ``pairs`` is (pos, source_doc, vector), ``sources`` (source_doc, vector);
     vectors are of unit length.
     """
-    from .search import dot
-
-    both = pairs.join(sources.withColumnRenamed("vector", "window"), "source_doc", "left")
-    best = both.groupBy("pos", "source_doc").agg(F.max(dot(F.col("vector"), F.col("window"))).alias("similarity"))
+    best = pairs.select("pos", "source_doc").distinct().join(largest(pairs, sources), ["pos", "source_doc"], "left")
     return best.withColumn("kept", F.col("similarity").isNull() | (F.col("similarity") >= least))

@@ -25,10 +25,8 @@ SELECT count(*) AS n_queries, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0.0 EN
 truth AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), {METRICS}""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of the same label are relevant."""
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    truth = rows.select(F.col("vec_id").alias("id"), "label").join(bounded(asked), "label").where("id <> query_id").select("query_id", "id")
-    return E.retrieval_metrics(vectors(spark, sf_dir, 10), truth, 10)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return E.label_metrics(vectors(spark, sf_dir, 10), rows, rows.where("id % 100 = 0"), 10)
 
 
 @query(f"""WITH {BM25}, chunk AS (SELECT query_id, source AS doc, min(rank) AS r FROM bmr JOIN documents d ON d.doc_id = id WHERE rank <= 10 GROUP BY ALL),
