@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import difficulty, tokens
 from ..operators import evaluate as E
-from ..operators.ranks import bounded, in_blocks
+from ..operators import search as S
 from .curation import PAIRS, pairs
 from .registry import query, table
 from .retrieval import BM25, VEC, texts, vectors
@@ -36,9 +35,7 @@ def doc_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of documents that hold an item's text are relevant."""
     docs = table(spark, sf_dir, "documents")
     found = texts(spark, sf_dir, 10).join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("doc")), "id")
-    items = in_blocks(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item")))
-    held = reduce(DataFrame.unionByName, [docs.join(some, F.contains("text", F.col("item"))) for some in items])
-    truth = held.select(F.col("item_id").alias("query_id"), F.col("source").alias("id"))
+    truth = S.holding(docs.select(F.col("source").alias("id"), "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))
     return E.document_metrics(found, truth, 5)
 
 
