@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,6 +16,9 @@ from .products import largest
 #: Turns that one conversation may have before its places meet the next one's.
 TURNS = 1 << 32
 
+#: Characters of the texts that a tokenizer gets at once.
+ENCODED_CHARS = 1 << 18
+
 
 def qa_pairs(turns: DataFrame) -> DataFrame:
     """(pos, source_doc, question, answer): each user turn with the assistant turn right after it."""
@@ -120,6 +124,20 @@ def chat_messages(pairs: DataFrame, system: str | None = None) -> DataFrame:
     return pairs.select("pos", F.to_json(F.array(*turns)).alias("messages"))
 
 
+def by_size(texts: list[str], most: int) -> Iterator[list[str]]:
+    """``texts`` in order, in lists of at most ``most`` characters unless one text has more."""
+    held: list[str] = []
+    size = 0
+    for text in texts:
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def token_count(text: Column, vocabulary: str) -> Column:
     """How many ids a tokenizer file gives a text, marks of its own included; null texts have none.
 
@@ -129,11 +147,17 @@ def token_count(text: Column, vocabulary: str) -> Column:
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        # tasks are what runs side by side; threads of a tokenizer would each keep memory of their own
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_str(vocabulary)
         for texts in batches:
-            yield pd.Series([len(e.ids) for e in own.encode_batch_fast(texts.fillna("").tolist())], dtype="int64")
+            counts: list[int] = []
+            # what the tokenizer returns takes many times a text, so only some of a batch is held at once
+            for some in by_size(texts.fillna("").tolist(), ENCODED_CHARS):
+                counts += [len(e.ids) for e in own.encode_batch_fast(some)]
+            yield pd.Series(counts, dtype="int64")
 
     return run(text)
 
