@@ -108,15 +108,18 @@ class CacheLookups(StatefulProcessor):
         self.handle = handle
         self.held = handle.getListState("held", "at long, seq long, query string")
         self.cache = handle.getListState("cache", "query string, expires long")
+        self.first = handle.getValueState("first", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         new = [(int(a), int(s), q) for part in rows for a, s, q in zip(part["at"], part["seq"], part["query"], strict=True)]
-        held = list(self.held.get()) if self.held.exists() else []
         self.held.appendList(new)
-        if not held or min(new)[0] < min(held)[0]:
-            for timer in list(self.handle.listTimers()):
+        low, first = min(new)[0], self.first.get()
+        # what is held is read only when some of it is ready
+        if first is None or low < first[0]:
+            for timer in list(self.handle.listTimers()) if first is not None else ():
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(min(new)[0] // 1000)
+            self.handle.registerTimer(low // 1000)
+            self.first.update((low,))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -138,8 +141,10 @@ class CacheLookups(StatefulProcessor):
         if rest:
             self.held.put(rest)
             self.handle.registerTimer(rest[0][0] // 1000)
+            self.first.update((rest[0][0],))
         else:
             self.held.clear()
+            self.first.clear()
         yield pd.DataFrame(out, columns=["shard", "seq", "query", "hit"])
 
 
