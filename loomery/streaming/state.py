@@ -1,88 +1,136 @@
 """Operators with state of their own for each key: ordered token streams, caches with a bound.
 
 Both hold what they need in a state store and are woken by event-time timers.
-They need the RocksDB state store; :func:`loomery.streaming.flows.run_once`
+Caches need the RocksDB state store; :func:`loomery.streaming.flows.run_once`
 sets it for the streams it starts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import squash
 
 
-class TokenOrder(StatefulProcessor):
-    """The events of a request in the order of ``seq``, closed exactly once."""
+@dataclass(slots=True)
+class Request:
+    """What is known of a request: the next ``seq`` and place, the last sources, when it is closed or forgotten, events that came too early."""
 
-    def __init__(self, silence_ms: int):
-        self.silence_ms = silence_ms
+    wake: int
+    next: int = 0
+    place: int = 0
+    closed: bool = False
+    sources: str | None = None
+    waiting: dict[int, tuple[str, str | None]] = field(default_factory=dict)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.progress = handle.getValueState("progress", "next long, place long, closed boolean, sources string, last long")
-        self.held = handle.getListState("held", "seq long, type string, content string")
-
-    def _wake(self, at: int) -> None:
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(at)
-
-    def _frame(self, key: tuple, place: int, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], place + i, *r) for i, r in enumerate(rows)], columns=["request", "place", "type", "content"])
+    def close(self, content: str | None) -> list[tuple]:
+        out = ([("sources", self.sources)] if self.sources is not None else []) + [("done", content)]
+        self.closed, self.sources, self.waiting = True, None, {}
+        return out
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        nxt, place, closed, sources, last = self.progress.get() if self.progress.exists() else (0, 0, False, None, 0)
-        waiting = {s: (t, c) for s, t, c in self.held.get()} if self.held.exists() else {}
-        for part in rows:
-            last = max(last, part["ts"].max().value // 1_000_000)
-            for seq, kind, content in zip(part["seq"], part["type"], part["content"], strict=True):
-                if seq >= nxt:
-                    waiting.setdefault(int(seq), (kind, None if pd.isna(content) else content))
+    def ready(self) -> list[tuple]:
+        """(type, content) of what can leave now."""
         out: list[tuple] = []
-        while not closed and nxt in waiting:
-            kind, content = waiting.pop(nxt)
-            nxt += 1
+        while self.next in self.waiting:
+            kind, content = self.waiting.pop(self.next)
+            self.next += 1
             if kind == "sources":
-                sources = content
+                self.sources = content
             elif kind == "done":
-                out += ([("sources", sources)] if sources is not None else []) + [(kind, content)]
-                closed = True
+                return out + self.close(content)
             else:
                 out.append((kind, content))
-        if closed or not waiting:
-            self.held.clear()
-        else:
-            self.held.put([(s, *waiting[s]) for s in sorted(waiting)])
-        self.progress.update((nxt, place + len(out), closed, sources, last))
-        self._wake(last + self.silence_ms)
-        yield self._frame(key, place, out)
+        return out
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        nxt, place, closed, sources, last = self.progress.get()
+    def rest(self) -> list[tuple]:
+        """(type, content) of what leaves in the end, without the missing events."""
         out: list[tuple] = []
-        if closed:
-            self.progress.clear()
-        else:
-            for _, kind, content in sorted(self.held.get()) if self.held.exists() else []:
-                if kind == "sources":
-                    sources = content
-                elif kind != "done":
-                    out.append((kind, content))
-            out += ([("sources", sources)] if sources is not None else []) + [("done", "timeout")]
-            # stragglers of the next spell find the request closed
-            self.progress.update((nxt, place + len(out), True, None, last))
-            self.held.clear()
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.silence_ms)
-        yield self._frame(key, place, out)
-
-
-def ordered_tokens(events: DataFrame, silence: int = 60, late: str = "60 seconds") -> DataFrame:
+        for _, (kind, content) in sorted(self.waiting.items()):
+            if kind == "sources":
+                self.sources = content
+            elif kind != "done":
+                out.append((kind, content))
+        return out + self.close("timeout")
+
+
+#: State of a bucket: an array for each field of its requests; an early event has the number of its request.
+BUCKET = """request array<string>, wake array<long>, next array<long>, place array<long>, closed array<boolean>, sources array<string>,
+  owner array<long>, seq array<long>, type array<string>, content array<string>"""
+#: What leaves of a request, in rows of at most ``TOGETHER`` events.
+LEFT, TOGETHER = "request string, place long, types array<string>, contents array<string>", 4096
+
+
+def _load(kept: tuple | None) -> dict[str | None, Request]:
+    if kept is None:
+        return {}
+    names, *fields, owner, seq, kind, content = kept
+    known = [Request(*r) for r in zip(*fields, strict=True)]
+    for i, s, k, c in zip(owner, seq, kind, content, strict=True):
+        known[i].waiting[s] = (k, c)
+    return dict(zip(names, known, strict=True))
+
+
+def _kept(requests: dict[str | None, Request]) -> tuple:
+    known = list(requests.values())
+    early = [(i, s, *e) for i, r in enumerate(known) for s, e in r.waiting.items()]
+    columns = [list(c) for c in zip(*early, strict=True)] or [[], [], [], []]
+    return (list(requests), [r.wake for r in known], [r.next for r in known], [r.place for r in known], [r.closed for r in known], [r.sources for r in known], *columns)
+
+
+def token_order(silence_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The events of the requests of a bucket, each in the order of ``seq`` and closed exactly once."""
+
+    def turn(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        requests, touched, out = _load(state.getOption), set(), []
+
+        def leave(name: str | None, r: Request, events: list[tuple]) -> None:
+            for i in range(0, len(events), TOGETHER):
+                types, contents = zip(*events[i : i + TOGETHER], strict=True)
+                out.append((name, r.place + i, list(types), list(contents)))
+            r.place += len(events)
+
+        for part in () if state.hasTimedOut else parts:
+            for name, seq, kind, content, at in zip(*(part[c].tolist() for c in ("request", "seq", "type", "content", "at")), strict=True):
+                r = requests.get(name)
+                if r is None:
+                    r = requests[name] = Request(silence_ms)
+                touched.add(name)
+                if at + silence_ms > r.wake:
+                    r.wake = at + silence_ms
+                if not r.closed and seq >= r.next:
+                    r.waiting.setdefault(int(seq), (kind, content))
+        for name in touched:
+            leave(name, requests[name], requests[name].ready())
+        upto, first = state.getCurrentWatermarkMs(), None
+        for name, r in list(requests.items()):
+            if r.wake <= upto and not r.closed:
+                leave(name, r, r.rest())
+                # stragglers of the next spell find the request closed
+                r.wake += silence_ms
+            if r.wake <= upto:
+                del requests[name]
+            elif first is None or r.wake < first:
+                first = r.wake
+        if requests:
+            state.update(_kept(requests))
+            # a time is over when the watermark is beyond it
+            state.setTimeoutTimestamp(max(first - 1, 1))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["request", "place", "types", "contents"])
+
+    return turn
+
+
+def ordered_tokens(events: DataFrame, silence: int = 60, late: str = "60 seconds", buckets: int = 256) -> DataFrame:
     """(request, place, type, content) of a stream of events (request, seq, type, content, ts).
 
     Events may arrive in any order and more than once; they leave in the order
@@ -93,9 +141,17 @@ def ordered_tokens(events: DataFrame, silence: int = 60, late: str = "60 seconds
     sources and a ``done`` whose content is "timeout".  Events more than
     ``late`` behind the newest are dropped.  A closed request is remembered
     for another ``silence`` seconds.
+
+    Requests share state and a timer in ``buckets``, since each call for a key
+    takes as long as hundreds of rows.  Their number must stay the same for a
+    stream that goes on; what is open in a bucket must fit a task.
     """
-    rows = events.select("request", "seq", "type", "content", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return rows.groupBy("request").transformWithStateInPandas(TokenOrder(silence * 1000), "request string, place long, type string, content string", "append", "eventtime")
+    at = F.col("ts").cast("timestamp")
+    bucket = F.pmod(F.xxhash64("request"), F.lit(buckets)).alias("bucket")
+    rows = events.select(bucket, "request", "seq", "type", "content", F.coalesce(F.unix_millis(at), F.lit(0)).alias("at"), at.alias("ts")).withWatermark("ts", late)
+    left = rows.groupBy("bucket").applyInPandasWithState(token_order(silence * 1000), LEFT, BUCKET, "append", GroupStateTimeout.EventTimeTimeout)
+    each = left.select("request", "place", F.posexplode(F.arrays_zip("types", "contents")).alias("i", "event"))
+    return each.select("request", (F.col("place") + F.col("i")).alias("place"), F.col("event.types").alias("type"), F.col("event.contents").alias("content"))
 
 
 class CacheLookups(StatefulProcessor):
